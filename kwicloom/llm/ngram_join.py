@@ -5,9 +5,10 @@
 * ``N_HASHES`` MinHash values per representative: word n-gram hashes are exploded and folded by ``min`` in
   one aggregation, inside generated code.
 * The forest: ``trees`` prefix tries, each over its own order of the hash values. Two texts meet in a tree
-  when they share a prefix of the current depth. Depth starts at ``max_depth`` and is shortened until the
-  estimated recall of the verified pairs reaches ``target_recall``: each verified pair with similarity J has
-  the chance p(J) to have met at this depth, and found / sum(1/p) estimates the share found.
+  when they share a prefix of the current depth. Depth starts at the longest prefix that gives a pair at the
+  threshold the target recall, and is shortened until the recall estimated from the verified pairs reaches
+  it too: a verified pair with similarity J had the chance p(J) to meet, and found / sum(1/p) estimates the
+  share found.
 * Verification: shingle arrays of texts that are in a candidate pair are joined and compared exactly.
 """
 
@@ -96,7 +97,8 @@ def similar_pairs(sets: DataFrame, threshold: float, target_recall: float = 0.98
     """``(a, b, jaccard)`` over ``sets(id, size, grams)``, by the forest."""
     sigs = materialise(signatures(sets), "signatures")
     found = tried = None
-    for depth in range(MAX_DEPTH, MIN_DEPTH - 1, -1):
+    reached = [d for d in range(MAX_DEPTH, MIN_DEPTH - 1, -1) if 1 - (1 - threshold**d) ** trees >= target_recall]
+    for depth in range(reached[0] if reached else MIN_DEPTH, MIN_DEPTH - 1, -1):
         pairs = candidates(sigs, depth, trees, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -105,8 +107,7 @@ def similar_pairs(sets: DataFrame, threshold: float, target_recall: float = 0.98
         good = materialise(verify(pairs, sets, threshold), "links")
         found = good if found is None else found.union(good)
         n, weight = found.agg(F.count("*"), F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).first()
-        at_threshold = 1 - (1 - threshold**depth) ** trees
-        if at_threshold >= target_recall or (at_threshold >= target_recall - 0.1 and n >= target_recall * (weight or 0)):
+        if n >= target_recall * (weight or 0):
             break
     return found
 

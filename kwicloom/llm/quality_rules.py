@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, gram_hashes, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
-#: A line passes the punctuation rule when it ends so, apart from white space.
-LINE_END = r"""[.?!…:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+#: A line passes the punctuation rule when a sentence ends in it.
+SENTENCE_END = r"""[.?!…:;]["'”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 #: Two or more menu separators, or a lone menu entry.
 NAVIGATION = r"(?i)(?:[|»›>•][^|»›>•\n]*){2,}|^[\x20\x09-\x0D]*(?:home|menu|next|previous|back|login|log in|sign in|sign up|search|share)[\x20\x09-\x0D.]*$"
 BOILERPLATE = r"(?i)all rights reserved|cookie policy|use of cookies|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|click here|subscribe to our"
@@ -31,7 +31,7 @@ def line_fails(line: Column) -> Column:
     solid = F.length(F.regexp_replace(line, SPACE, ""))
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     return (
-        ~line.rlike(LINE_END)
+        ~line.rlike(SENTENCE_END)
         | line.rlike(NAVIGATION)
         | line.rlike(BOILERPLATE)
         | (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > solid * MAX_SYMBOL_PERCENT)
