@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .line_dedup import line_dedup
 from .lm_score import compression_scores
 from .ngram_join import ngram_join
@@ -59,6 +60,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_byte_bpe, op4_lm_scoring, op5_line_dedup, op6_ngram_jaccard_join, op7_substring_dedup, op9_quality_rules, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_exact_dedup, op3_byte_bpe, op4_lm_scoring, op5_line_dedup, op6_ngram_jaccard_join, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_best_fit_packing)}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
