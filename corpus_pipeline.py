@@ -8,19 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kwicloom.llm import ngram_join, quality_rules
+from kwicloom.llm import line_dedup, ngram_join, packing, quality_rules, substring_blocks
 from kwicloom.llm.common import materialise
+from kwicloom.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates)]
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_blocks.cut_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("best-fit packing", packed),
+]
 #: The near-duplicate stages are iterative, so no SQL: tests compare with brute force.
 ORACLE_SQL = None
 
