@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..concordance import View
 from ..functions.stats import conservative_log_ratio
@@ -30,7 +31,7 @@ def keyword_counts(view: View, grouping: Grouping, tokens_attribute: str = "word
     return counted.select("id", "word", "f1", "f2", "n1", (F.col("all") - F.col("n1")).alias("n2"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lrc(f1: pd.Series, f2: pd.Series, n1: pd.Series, n2: pd.Series, alpha: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}
     out = []

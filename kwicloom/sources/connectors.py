@@ -142,7 +142,11 @@ def sketch_engine(pages: DataFrame, attributes: list[str] | None = None, referen
         return F.flatten(F.transform(F.coalesce(part, F.array()), one))
 
     rows = rows.withColumn("_l", items(F.col("x.Left"))).withColumn("_n", items(F.col("x.Kwic"))).withColumn("_r", items(F.col("x.Right")))
-    every = F.concat(*[F.transform(F.col(c), lambda t, k=k: F.struct(F.lit(k).alias("part"), t.alias("t"))) for k, c in enumerate(("_l", "_n", "_r"))])
+
+    def marked(c: str, part: int) -> Column:
+        return F.transform(F.col(c), lambda t: F.struct(F.lit(part).alias("part"), t.alias("t")))
+
+    every = F.concat(marked("_l", 0), marked("_n", 1), marked("_r", 2))
     flat = rows.select("line_id", F.posexplode(every).alias("i", "e")).select("line_id", "i", "e.part", "e.t.*")
     from pyspark.sql import Window
 
