@@ -8,6 +8,7 @@ deterministic, so a lost task is simply repeated.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 from .pieces import mix
 
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 #: Rows of this many values at most are hashed at once.
 STEP = 1 << 20
 
@@ -34,6 +35,14 @@ def loads(blob: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def n_units(docs: DataFrame, text_col: str) -> int:
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return max(partitions(docs.sparkSession), -(-size // UNIT_BYTES))
@@ -55,6 +64,8 @@ def to_units(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     out_units.append(int(units[part[0]]))
                     blobs.append(dumps([(ids[k], (texts[k] or "").encode("utf-8", "replace")) for k in part.tolist()], 3))
             yield pa.RecordBatch.from_arrays([pa.array(out_units, pa.int32()), pa.array(blobs, pa.binary())], names=["unit", "data"])
+            del ids, texts, blobs
+            trim()
 
     return docs.select(unit.alias("unit"), F.col(id_col), F.col(text_col)).mapInArrow(run, "unit int, data binary")
 
@@ -69,7 +80,10 @@ def exchange(df: DataFrame, key: str, fn: Callable[[int, pa.Table], Iterator[tup
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return as_table(fn(k[0].as_py(), table), schema, names)
+        try:
+            return as_table(fn(k[0].as_py(), table), schema, names)
+        finally:
+            trim()
 
     return df.groupBy(key).applyInArrow(run, schema)
 
@@ -79,7 +93,10 @@ def meet(left: DataFrame, right: DataFrame, key: str, fn: Callable[[int, pa.Tabl
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(k: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
-        return as_table(fn(k[0].as_py(), a, b), schema, names)
+        try:
+            return as_table(fn(k[0].as_py(), a, b), schema, names)
+        finally:
+            trim()
 
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
 
@@ -118,9 +135,9 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
 
 def by_bucket(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket of ``n`` and the places of its hashes."""
-    bucket = (hashes % np.uint64(n)).astype(np.int64)
+    bucket = (hashes % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
+    edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=n)))
     for b in range(n):
         if edges[b] < edges[b + 1]:
             yield b, order[edges[b] : edges[b + 1]]
