@@ -31,50 +31,79 @@ HOT = 50_000
 ONCE_MORE = 1
 
 
-def leftmost_least(values: np.ndarray, k: int) -> np.ndarray:
-    """For every ``k`` consecutive values, the place of the least, the leftmost of equals."""
+def leftmost_least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every ``k`` consecutive values, the place of the least, the leftmost of equals, as stretches of windows
+    that share it: the first window, the last one and the place."""
     n = len(values) - k + 1
-    out = np.empty(max(n, 0), np.int64)
-    for lo in range(0, n, STEP):
-        hi = min(n, lo + STEP)
-        v = values[lo : hi + k - 1]
-        at = np.arange(len(v), dtype=np.int32)
-        span = 1
-        while 2 * span <= k:
-            a, b = v[: len(v) - span], v[span:]
-            right = b < a
-            at = np.where(right, at[span : span + len(a)], at[: len(a)])
-            v = np.where(right, b, a)
-            span *= 2
-        shift = k - span
-        if shift:
-            a, b = v[: len(v) - shift], v[shift:]
-            at = np.where(b < a, at[shift : shift + len(a)], at[: len(a)])
-        out[lo:hi] = at[: hi - lo] + lo
-    return out
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    least, span = values, 1
+    while 2 * span <= k:
+        least = np.minimum(least[: len(least) - span], least[span:])
+        span *= 2
+    if k > span:
+        least = np.minimum(least[: len(least) - (k - span)], least[k - span :])
+    lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    hi = np.append(lo[1:], n) - 1
+    views = np.lib.stride_tricks.sliding_window_view(values, k)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for _ in range(4):  # a window may slide past the leftmost of equals: the stretch goes on with the next of them
+        at = lo + k - 1
+        search = np.flatnonzero((lo == 0) | (least[lo] >= least[lo - 1]))  # else the value that has just come in is the least
+        for c in range(0, len(search), 1 << 12):
+            part = lo[search[c : c + (1 << 12)]]
+            at[search[c : c + (1 << 12)]] = part + np.argmax(views[part] == least[part][:, None], axis=1)
+        past = hi > at
+        done.append((lo, np.minimum(hi, at), at))
+        lo, hi = at[past] + 1, hi[past]
+    for a, b in zip(lo.tolist(), hi.tolist()):  # periodic text: the rest of the stretch by doubling, with places
+        v = values[a : b + k]
+        at, span = np.arange(a, b + k), 1
+        for shift in [1 << i for i in range(k.bit_length() - 1)] + [k - (1 << (k.bit_length() - 1))]:
+            if shift:
+                right = v[shift:] < v[: len(v) - shift]
+                at = np.where(right, at[shift:], at[: len(at) - shift])
+                v = np.where(right, v[shift:], v[: len(v) - shift])
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        done.append((a + first, a + np.append(first[1:], len(at)) - 1, at[first]))
+    lo, hi, at = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(lo, kind="stable")
+    return lo[order], hi[order], at[order]
 
 
 class Unit:
-    """The documents of a unit as one row of bytes, with the windows of each and their anchors."""
+    """The documents of a unit as one row of bytes, and the stretches of windows that share an anchor.
+
+    Anchors are found a stretch of documents at a time, so the arrays per byte stay small.
+    """
 
     def __init__(self, table: pa.Table, width: int, gram: int):
         self.rows = rows_of(table) if table.num_rows else []
-        self.bytes = np.frombuffer(b"".join(raw for _, raw in self.rows), np.uint8)
+        self.raw = b"".join(raw for _, raw in self.rows)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
         self.sizes = np.array([len(raw) for _, raw in self.rows], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        long = np.flatnonzero(self.sizes >= width)
-        n = len(self.bytes)
-        ok = np.zeros(n + 1, np.int64)
-        np.add.at(ok, self.first[long], 1)
-        np.add.at(ok, self.first[long] + self.sizes[long] - width + 1, -1)
-        self.starts = np.flatnonzero(np.cumsum(ok)[:n] > 0)  # windows inside one document
-        self.grams = rolling(self.bytes, gram)
-        anchor = leftmost_least(self.grams, width - gram + 1)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
-        run = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (np.diff(self.starts) != 1))) if len(anchor) else np.zeros(0, np.int64)
-        self.anchor = anchor[run]  # one for each stretch of windows
-        self.lo = self.starts[run]
-        self.hi = self.starts[np.append(run[1:], len(anchor))[: len(run)] - 1] if len(run) else run  # last window of the stretch
-        self.hash = self.grams[self.anchor]
+        found: list[tuple[np.ndarray, ...]] = []
+        at = 0
+        while at < len(self.rows):
+            upto = max(at + 1, int(np.searchsorted(self.first, self.first[at] + STEP, side="right")))
+            base, end = int(self.first[at]), int(self.first[upto - 1] + self.sizes[upto - 1])
+            grams = rolling(self.bytes[base:end], gram)
+            lo, hi, anchor = leftmost_least(grams, width - gram + 1)
+            # windows must lie in one document: cut the stretches at documents' ends
+            starts, ends = self.first[at:upto] - base, self.first[at:upto] + self.sizes[at:upto] - base
+            d = np.searchsorted(ends, lo, side="right")
+            while len(lo):
+                fits = np.minimum(hi, ends[d] - width)
+                good = fits >= lo
+                found.append((lo[good] + base, fits[good] + base, anchor[good] + base, grams[anchor[good]]))
+                d = d + 1
+                more = (d < len(ends)) & (hi >= starts[np.minimum(d, len(ends) - 1)])
+                lo, hi, anchor, d = starts[d[more]], hi[more], anchor[more], d[more]
+            at = upto
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+        order = np.argsort(parts[0], kind="stable")
+        self.lo, self.hi, self.anchor, self.hash = (x[order] for x in parts)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first + self.sizes, at, side="right")
@@ -143,7 +172,7 @@ def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram:
             return
         u = Unit(texts, width, gram)
         kind = shared_places(u.hash, n, [loads(x) for x in hits.column("data").to_pylist()])
-        raw = u.bytes.tobytes()
+        raw = u.raw
         seen: dict[bytes, int] = {}
         gone, sent = [], {}
         some = np.flatnonzero(kind == 1)
@@ -194,8 +223,8 @@ def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram:
         per_anchor: dict[int, int] = {}
         for *_, h in first.values():
             per_anchor[h] = per_anchor.get(h, 0) + 1
-        # a context may repeat a window within itself, so lone contexts stay in if they could
-        left = [(text, x) for text, x in first.items() if per_anchor[x[3]] > 1 or len(text) > width]
+        # equal windows have their anchor at the same place, so a context never repeats one within itself
+        left = [(text, x) for text, x in first.items() if per_anchor[x[3]] > 1]
         if left:
             left.sort(key=lambda x: x[1][0])
             found = later_windows([t for t, _ in left], [x[0] for _, x in left], width)
