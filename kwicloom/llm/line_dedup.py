@@ -28,7 +28,7 @@ THRESHOLD = 0.75
 BINS = 64
 ROWS = 4
 BANDS = 16
-#: Lines of fewer letters are never removed: there is too little in them to tell copies from chance.
+#: Lines of fewer characters, blanks and tabs aside, are never removed: there is too little in them to tell copies from chance.
 MIN_CHARS = 20
 
 
@@ -54,15 +54,17 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """``len(lines) x bands`` keys."""
+    if bins & (bins - 1):
+        raise ValueError("bins is a power of two")
     sig = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
-    lo = 0
+    flat, lo = sig.reshape(-1), 0
     while lo < len(lines):
         hi, size = lo, 0
         while hi < len(lines) and (hi == lo or size + len(lines[hi]) < 1 << 20):
             size += len(lines[hi])
             hi += 1
         h, of = shingle_hashes(lines[lo:hi], k)
-        np.minimum.at(sig, (of + lo, (h % np.uint64(bins)).astype(np.int64)), h // np.uint64(bins))
+        np.minimum.at(flat, (of + lo) * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
         lo = hi
     empty = sig == np.iinfo(np.uint64).max
     filled = sig.copy()
@@ -82,6 +84,20 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     return out
 
 
+def split_shingles(lines: list[str], k: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The shingle hashes of each line, about ``most`` characters at a time."""
+    lo = 0
+    while lo < len(lines):
+        hi, size = lo, 0
+        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < most):
+            size += len(lines[hi])
+            hi += 1
+        h, of = shingle_hashes(lines[lo:hi], k)
+        edges = np.searchsorted(of, np.arange(hi - lo + 1))
+        yield from (h[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
+        lo = hi
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -89,7 +105,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def eligible(line: str, least: int) -> bool:
-    return len("".join(line.split())) >= least
+    return len(line) >= least and len(line) - line.count(" ") - line.count("\t") - line.count("\r") >= least
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -109,8 +125,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return docs.select(id_col, text_col).mapInArrow(run, "doc long, line_no int, key long")
 
 
-def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, least: int) -> DataFrame:
-    """``(key, line)`` of the wanted lines ``(key, doc)``: documents travel compressed and are cut by the task that joins them."""
+def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, least: int, shingle: int) -> DataFrame:
+    """``(key, line, size)``, size being the number of distinct shingles, of the wanted lines ``(key, doc)``: documents travel compressed and are cut by the task that joins them."""
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +144,12 @@ def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, l
                             want.discard(key)
                             keys.append(key)
                             lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], names=["key", "line"])
+            sizes = [len(np.unique(h)) for h in split_shingles(lines, shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32())], names=["key", "line", "size"])
 
     blobs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(compressed, "doc long, data binary")
     per_doc = wanted.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    return blobs.join(per_doc, "doc").select("data", "keys").mapInArrow(cut, "key long, line string").dropDuplicates(["key"])
+    return blobs.join(per_doc, "doc").select("data", "keys").mapInArrow(cut, "key long, line string, size int").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -142,14 +159,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             names = list(dict.fromkeys([*a, *b]))
-            h, of = shingle_hashes(names, shingle)
-            edges = np.searchsorted(of, np.arange(len(names) + 1))
-            sets = {x: np.unique(h[edges[i] : edges[i + 1]]) for i, x in enumerate(names)}
+            sets = {x: np.unique(h) for x, h in zip(names, split_shingles(names, shingle))}
             good = pa.array([jaccard(sets[x], sets[y]) >= threshold for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"))
+    left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"))
+    right = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"))
+    # sets of sizes too far apart cannot be similar enough
+    sizes = texts.select("key", "size")
+    of_a, of_b = (sizes.select(F.col("key").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+    pairs = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
@@ -200,7 +219,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float,
     n = n_units(docs, text_col)
     bands = materialise(exchange(bands_of(docs, id_col, text_col, n, least, shingle), "bucket", meetings, "band long, key long"), "bands")
     wanted = firsts.join(bands.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc").alias("doc"))
-    texts = materialise(line_texts(docs, id_col, text_col, wanted, least), "lines")
+    texts = materialise(line_texts(docs, id_col, text_col, wanted, least, shingle), "lines")
 
     leaders = bands.groupBy("band").agg(F.min("key").alias("a"))
     star = bands.join(leaders, "band").where("a < key").select("a", F.col("key").alias("b")).distinct()
@@ -240,7 +259,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, ``n_lines, n_removed, kept_sha256`` of the kept lines joined by newlines.
 
     Lines are what newlines separate. One line of each component of similar lines stays: the first by id and
-    line number. Lines with fewer than ``least`` characters besides white space always stay. Null counts as
+    line number. Lines with fewer than ``least`` characters, blanks and tabs aside, always stay. Null counts as
     empty. Rows that repeat an id lose the same line numbers. ids are whole numbers. No rows give no rows.
     """
     out = with_lines_removed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, threshold, shingle, least)
