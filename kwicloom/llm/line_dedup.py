@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, lookup, materialise
 from .pieces import mix
-from .units import dumps, exchange, loads, n_units, rolling
+from .units import dumps, exchange, loads, n_units, rolling, trim
 
 SHINGLE = 10
 THRESHOLD = 0.75
@@ -38,13 +38,10 @@ def line_key(line: str) -> bytes:
 
 def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of all lines, and the line of each; a shorter line is one shingle."""
-    points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
-    sizes = np.array([len(p) for p in points], np.int64)
-    pad = np.maximum(sizes, k)
-    row = np.zeros(int(pad.sum()), np.uint32)
+    padded = [x if len(x) >= k else x + "\0" * (k - len(x)) for x in lines]
+    pad = np.array([*map(len, padded)], np.int64)
+    row = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.cumsum(pad) - pad
-    for p, b in zip(points, begin.tolist()):
-        row[b : b + len(p)] = p
     hashes = rolling(row, k)
     n = pad - k + 1
     of = np.repeat(np.arange(len(lines)), n)
@@ -130,7 +127,7 @@ def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, l
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dumps(t or "", 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dumps(t or "") for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "data"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +143,8 @@ def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, l
                             lines.append(line)
             sizes = [len(np.unique(h)) for h in split_shingles(lines, shingle)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32())], names=["key", "line", "size"])
+            del lines, keys, sizes
+            trim()
 
     blobs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(compressed, "doc long, data binary")
     per_doc = wanted.groupBy("doc").agg(F.collect_set("key").alias("keys"))
@@ -162,6 +161,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
             sets = {x: np.unique(h) for x, h in zip(names, split_shingles(names, shingle))}
             good = pa.array([jaccard(sets[x], sets[y]) >= threshold for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+            del sets, names, a, b
+            trim()
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"))
     right = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"))
@@ -194,6 +195,8 @@ def bands_of(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, sh
                     buckets.append(b)
                     blobs.append(dumps((keys.ravel()[k], own[of[k]])))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+            del lines, names, keys, blobs, order, flat, of
+            trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, "bucket int, data binary")
 
