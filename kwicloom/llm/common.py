@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 4096
+#: Bits of one bitmap of Spark's bitmap functions.
+BITS = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,21 @@ def gram_hashes(words: Column, n: int) -> Column:
     return F.transform(F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)]), lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(n)]))
 
 
+def hit_filter(hits: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A filter of at most ``buckets`` bitmaps of 4 KB: rows ``(bucket, bits)``."""
+    slot = F.pmod(F.xxhash64(key), F.lit(buckets * BITS))
+    return hits.select(F.floor(slot / BITS).alias("bucket"), (slot % BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def may_hit(rows: DataFrame, bitmaps: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows whose key the filter has; a few others pass too."""
+    slot = F.pmod(F.xxhash64(key), F.lit(buckets * BITS))
+    bit = slot % BITS
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.floor(slot / BITS) == F.col("bucket")
+    return rows.join(F.broadcast(bitmaps), on).where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def lookup(left: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join with ``table``, which has one row per ``key``; ``weight`` is how many rows of ``left`` have the key.
 

@@ -16,11 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, text_of
-
-#: Bits of one bitmap of Spark's bitmap functions.
-BITS = 32768
-
+from .common import hit_filter, lookup, materialise, may_hit, text_of
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
@@ -49,21 +45,6 @@ def compact(*runs: DataFrame) -> DataFrame:
     return every.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
 
 
-def hit_filter(hits: DataFrame, buckets: int) -> DataFrame:
-    """A filter of at most ``buckets`` bitmaps of 4 KB: rows ``(bucket, bits)``."""
-    slot = F.pmod(F.xxhash64("digest"), F.lit(buckets * BITS))
-    return hits.select(F.floor(slot / BITS).alias("bucket"), (slot % BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def may_hit(rows: DataFrame, bitmaps: DataFrame, buckets: int) -> DataFrame:
-    """The rows whose digest the filter has."""
-    slot = F.pmod(F.xxhash64("digest"), F.lit(buckets * BITS))
-    bit = slot % BITS
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    on = F.floor(slot / BITS) == F.col("bucket")
-    return rows.join(F.broadcast(bitmaps), on).where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
-
-
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256, filter_buckets: int = 1024
 ) -> DataFrame:
@@ -87,7 +68,7 @@ def exact_dedup(
     total = runs.count()
 
     suspects = docs.select(order.alias("key"), norm.alias("norm"), digest(norm).alias("digest"))
-    verified = may_hit(suspects, hit_filter(hits, filter_buckets), filter_buckets)
+    verified = may_hit(suspects, hit_filter(hits, "digest", filter_buckets), "digest", filter_buckets)
     collided = verified.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest")
     collided = materialise(collided, "collided")
 

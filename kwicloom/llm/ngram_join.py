@@ -9,17 +9,20 @@
   threshold the target recall, and is shortened until the recall estimated from the verified pairs reaches
   it too: a verified pair with similarity J had the chance p(J) to meet, and found / sum(1/p) estimates the
   share found.
-* Verification: shingle arrays of texts that are in a candidate pair are joined and compared exactly.
+* Verification: pairs with too few equal hash values go; for the others, the shingle arrays of texts that hang
+  together meet in one task, block by block, and are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gram_hashes, lookup, materialise, text_of, words_of
+from .common import components, gram_hashes, hit_filter, lookup, materialise, may_hit, partitions, text_of, words_of
 
 N_HASHES = 32
 TREES = 40
@@ -27,6 +30,10 @@ MAX_DEPTH = 5
 MIN_DEPTH = 2
 #: Rows of one bucket that meet in one task at most; larger buckets are cut into blocks.
 BLOCK = 512
+#: Texts of one block of a component.
+GROUP = 1024
+#: Bitmaps of 4 KB of the filter that picks the texts to verify; a fuller filter only lets more texts through.
+FILTER = 1024
 
 
 def forest_orders(trees: int = TREES, depth: int = MAX_DEPTH, hashes: int = N_HASHES) -> list[list[int]]:
@@ -57,45 +64,94 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return members, materialise(members.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """``(id, size, sig)``: MinHash values of ``sets(id, size, grams)``."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """``(id, size, p0..p7)`` of ``docs(id, w)``: the low 16 bits of each MinHash value, four to a number; texts without shingles have none."""
+    grams = shingles(F.col("w"), n)
     mins = [F.min(F.xxhash64("g", F.lit(k))).alias(f"h{k}") for k in range(N_HASHES)]
-    out = sets.select("id", "size", F.explode("grams").alias("g")).groupBy("id", "size").agg(*mins)
-    return out.select("id", "size", F.array(*[f"h{k}" for k in range(N_HASHES)]).alias("sig"))
+    out = docs.select("id", F.explode(grams).alias("g")).groupBy("id").agg(F.count("*").alias("size"), *mins)
+    low = lambda k: F.shiftleft(F.col(f"h{k}").bitwiseAND(0xFFFF), 16 * (k % 4))
+    packed = [low(4 * j).bitwiseOR(low(4 * j + 1)).bitwiseOR(low(4 * j + 2)).bitwiseOR(low(4 * j + 3)).alias(f"p{j}") for j in range(N_HASHES // 4)]
+    return out.select("id", "size", *packed)
+
+
+def value(k: int) -> Column:
+    """The k-th value of a packed signature."""
+    return F.shiftrightunsigned(F.col(f"p{k // 4}"), 16 * (k % 4)).bitwiseAND(0xFFFF)
+
+
+def least_matches(threshold: float) -> int:
+    """How many hash values texts at the threshold share but for one time in 10,000."""
+    at_most, k = 0.0, 0
+    while True:
+        at_most += math.comb(N_HASHES, k) * threshold**k * (1 - threshold) ** (N_HASHES - k)
+        if at_most > 1e-4:
+            return k
+        k += 1
 
 
 def candidates(sigs: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a prefix of ``depth`` in some tree and whose sizes and signatures allow the threshold.
+    """Pairs ``a < b`` that share a prefix of ``depth`` in some tree and whose sizes and signatures allow the threshold.
 
-    A bucket of n rows is cut into ceil(n / BLOCK) blocks; each pair of blocks is a task key of its own.
+    Each pair comes from the first tree that it shares, so it is formed once. A bucket of n rows is cut into
+    ceil(n / BLOCK) blocks; each pair of blocks is a task key of its own.
     """
-    orders = forest_orders(trees)
-    prefix = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[k] for k in order[:depth]]) for t, order in enumerate(orders)])
-    rows = materialise(sigs.select(F.explode(prefix).alias("key"), "id", "size"), "prefixes")
+    orders = [order[:depth] for order in forest_orders(trees)]
+    prefix = F.array(*[F.xxhash64(F.lit(t), *[value(k) for k in order]) for t, order in enumerate(orders)])
+    rows = materialise(sigs.select("id", F.posexplode(prefix).alias("tree", "key")), "prefixes")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.join(shared, "key").join(sigs, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = rows.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)
-    return left.join(right, ["key", "i", "j"]).where(near).select("a", "b").distinct()
-
-
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs(a, b, jaccard)`` with exact similarity of at least the threshold."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(sets.join(needed, "id", "left_semi"), "shingles")
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    scored = both.select("a", "b", F.size("grams_a").alias("na"), F.size("grams_b").alias("nb"), common.alias("common"))
-    return scored.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def similar_pairs(sets: DataFrame, threshold: float, target_recall: float = 0.98, trees: int = TREES) -> DataFrame:
-    """``(a, b, jaccard)`` over ``sets(id, size, grams)``, by the forest."""
-    sigs = materialise(signatures(sets), "signatures")
+    packs = [f"p{j}" for j in range(N_HASHES // 4)]
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("key", "tree", *[F.col(c).alias(f"a_{c}") for c in ("id", "size", *packs)], F.col("block").alias("i"), other.alias("j"))
+    right = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "size", *packs)], F.col("block").alias("j"), other.alias("i"))
+    near = (F.col("a_id") < F.col("b_id")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold)
+    met = left.join(right, ["key", "i", "j"]).where(near)
+    met = met.select("tree", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")).alias(c) for c in packs])
+    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(value(k) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(N_HASHES)])
+    met = met.select("tree", "a", "b", F.explode(F.array(mask)).alias("mask"))  # a generator, lest the long expression be copied into each use
+    of_tree = [sum(1 << k for k in order) for order in orders]
+    first = F.coalesce(*[F.when(F.col("mask").bitwiseAND(m) == m, t) for t, m in enumerate(of_tree)])
+    return met.where((F.bit_count("mask") >= least_matches(threshold)) & (first == F.col("tree"))).select("a", "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``pairs(a, b, jaccard)`` with exact similarity of at least the threshold; ``docs(id, w)`` has the words.
+
+    Candidates that hang together go to the same task: their component is cut into blocks of ``GROUP`` texts,
+    and a text's shingles travel once to each pair of blocks in which it has a candidate, not once a pair.
+    """
+    spark = pairs.sparkSession
+    roots = components(pairs)
+    ids = roots.select("id")
+    rows = may_hit(docs, hit_filter(ids, "id", FILTER), "id", FILTER)
+    grams = materialise(rows.select("id", shingles(F.col("w"), n).alias("grams")).join(ids, "id", "left_semi"), "shingles")
+    place = roots.join(roots.groupBy("root").agg(F.count("*").alias("m")), "root")
+    place = place.select("id", "root", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / GROUP)).alias("block"))
+    of_a, of_b = (place.select(F.col("id").alias(x), "root", F.col("block").alias(f"block_{x}")) for x in "ab")
+    keyed = pairs.join(of_a, "a").join(of_b.drop("root"), "b")
+    keyed = keyed.select("a", "b", F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("task"))
+    keyed = materialise(keyed, "keyed-pairs")
+    sent = keyed.select("task", F.col("a").alias("id")).union(keyed.select("task", F.col("b").alias("id"))).distinct()
+    parts = partitions(spark)
+    sent = sent.join(grams, "id").repartition(parts, "task")
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")  # rows of a task are together, so joins by task and id need no further exchange
+    try:
+        left = sent.select("task", F.col("id").alias("a"), F.col("grams").alias("grams_a")).hint("shuffle_hash")
+        right = sent.select("task", F.col("id").alias("b"), F.col("grams").alias("grams_b")).hint("shuffle_hash")
+        both = keyed.repartition(parts, "task").join(left, ["task", "a"]).join(right, ["task", "b"])
+        sizes = both.select("a", "b", F.size("grams_a").alias("na"), F.size("grams_b").alias("nb"), F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+        scored = sizes.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
+        return materialise(scored.where(F.col("jaccard") >= threshold), "links")
+    finally:
+        spark.conf.set(conf, before)
+
+
+def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, target_recall: float = 0.98, trees: int = TREES) -> DataFrame:
+    """``(a, b, jaccard)`` between the texts ``docs(id, w)`` whose id is in ``reps(id)``, by the forest."""
+    sigs = materialise(signatures(docs, n).join(reps, "id", "left_semi"), "signatures")
     found = tried = None
     reached = [d for d in range(MAX_DEPTH, MIN_DEPTH - 1, -1) if 1 - (1 - threshold**d) ** trees >= target_recall]
     for depth in range(reached[0] if reached else MIN_DEPTH, MIN_DEPTH - 1, -1):
@@ -104,10 +160,10 @@ def similar_pairs(sets: DataFrame, threshold: float, target_recall: float = 0.98
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "candidates")
         tried = pairs if tried is None else tried.union(pairs)
-        good = materialise(verify(pairs, sets, threshold), "links")
+        good = verify(pairs, docs, n, threshold)
         found = good if found is None else found.union(good)
-        n, weight = found.agg(F.count("*"), F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).first()
-        if n >= target_recall * (weight or 0):
+        count, weight = found.agg(F.count("*"), F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).first()
+        if count >= target_recall * (weight or 0):
             break
     return found
 
@@ -130,12 +186,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def join_with_links(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, target_recall: float = 0.98) -> tuple[DataFrame, DataFrame]:
     """``ngram_join`` and its links ``(a, b, jaccard)`` between smallest ids of text classes."""
     members, classes = text_classes(docs, id_col, text_col)
-    words = words_of(F.lower(text_of(text_col)))
-    reps = classes.select(F.col("rep").alias("id"))
-    sets = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", shingles(F.col("w"), n).alias("grams"))
-    sets = sets.join(reps, "id", "left_semi")
-    sets = materialise(sets.select("id", F.size("grams").alias("size"), "grams").where("size > 0"), "sets")
-    links = similar_pairs(sets, threshold, target_recall)
+    words = docs.select(F.col(id_col).alias("id"), words_of(F.lower(text_of(text_col))).alias("w"))
+    links = similar_pairs(words, classes.select(F.col("rep").alias("id")), n, threshold, target_recall)
     roots = components(links)
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
     degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
