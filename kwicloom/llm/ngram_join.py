@@ -5,10 +5,10 @@
 * ``N_HASHES`` MinHash values per representative: word n-gram hashes are exploded and folded by ``min`` in
   one aggregation, inside generated code.
 * The forest: ``trees`` prefix tries, each over its own order of the hash values. Two texts meet in a tree
-  when they share a prefix of the current depth. Depth starts at the longest prefix that gives a pair at the
-  threshold the target recall, and is shortened until the recall estimated from the verified pairs reaches
-  it too: a verified pair with similarity J had the chance p(J) to meet, and found / sum(1/p) estimates the
-  share found.
+  when they share a prefix of the current depth. Trees share hash values, so the chance p(J) to meet is that of
+  these very prefixes, not of as many independent ones. Depth starts at the longest prefix that gives a pair
+  at the threshold the target recall, so no similarity above it has less; from a longer start it is shortened
+  until, in each band of similarity, found / sum(1/p(J)) over the verified pairs reaches the target.
 * Verification: pairs with too few equal hash values go; for the others, the shingle arrays of texts that hang
   together meet in one task, block by block, and are compared exactly.
 """
@@ -17,17 +17,22 @@ from __future__ import annotations
 
 import math
 import random
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, gram_hashes, hit_filter, lookup, materialise, may_hit, partitions, text_of, words_of
 
-N_HASHES = 32
+#: A multiple of 4, at most 60; with 40 trees of depth 3 each value is in two prefixes.
+N_HASHES = 60
 TREES = 40
 MAX_DEPTH = 5
 MIN_DEPTH = 2
+#: Bands of similarity of the estimated recall, and steps of the table of chances.
+RECALL_BANDS = 20
+STEPS = 1000
 #: Rows of one bucket that meet in one task at most; larger buckets are cut into blocks.
 BLOCK = 512
 #: Texts of one block of a component.
@@ -37,17 +42,35 @@ FILTER = 1024
 
 
 def forest_orders(trees: int = TREES, depth: int = MAX_DEPTH, hashes: int = N_HASHES) -> list[list[int]]:
-    """The hash numbers that each tree's prefix reads, all trees different."""
+    """The hash numbers that each tree's prefix reads: dealt place by place, so prefixes of any depth use all values alike."""
     rng = random.Random(7)
-    seen: set[tuple[int, ...]] = set()
-    while len(seen) < trees:
-        seen.add(tuple(rng.sample(range(hashes), depth)))
-    return [list(x) for x in sorted(seen)]
+    orders: list[list[int]] = [[] for _ in range(trees)]
+    deck: list[int] = []
+    for _ in range(depth):
+        for order in orders:
+            if all(k in order for k in deck):
+                deck += rng.sample(range(hashes), hashes)
+            order.append(deck.pop(next(i for i, k in enumerate(deck) if k not in order)))
+    return orders
+
+
+@cache
+def met_chances(depth: int, trees: int, hashes: int = N_HASHES, samples: int = 200_000) -> tuple[float, ...]:
+    """The chance that texts of similarity 0, 1 / STEPS, ..., 1 share a prefix of this depth in some tree of the forest.
+
+    Value k is equal when a uniform number of its own is below the similarity, so a pair meets from the least,
+    over the trees, of the greatest number in a prefix.
+    """
+    rng = np.random.default_rng(7)
+    orders = np.array([order[:depth] for order in forest_orders(trees, hashes=hashes)])
+    least = np.sort(np.concatenate([rng.random((samples // 20, hashes))[:, orders].max(2).min(1) for _ in range(20)]))
+    return tuple((np.searchsorted(least, np.arange(STEPS + 1) / STEPS) / len(least)).tolist())
 
 
 def met_chance(j: Column, depth: int, trees: int) -> Column:
-    """The chance that texts of similarity ``j`` share a prefix of this depth in some tree."""
-    return 1 - F.pow(1 - F.pow(j, F.lit(depth)), F.lit(trees))
+    """The chance, above 0, that texts of similarity ``j`` share a prefix of this depth in some tree."""
+    table = F.array(*[F.lit(max(p, 1e-6)) for p in met_chances(depth, trees)])
+    return F.element_at(table, F.floor(j * STEPS).cast("int") + 1)
 
 
 def shingles(words: Column, n: int) -> Column:
@@ -65,7 +88,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """``(id, size, p0..p7)`` of ``docs(id, w)``: the low 16 bits of each MinHash value, four to a number; texts without shingles have none."""
+    """``(id, size, p0, p1, ...)`` of ``docs(id, w)``: the low 16 bits of each MinHash value, four to a number; texts without shingles have none."""
     grams = shingles(F.col("w"), n)
     mins = [F.min(F.xxhash64("g", F.lit(k))).alias(f"h{k}") for k in range(N_HASHES)]
     out = docs.select("id", F.explode(grams).alias("g")).groupBy("id").agg(F.count("*").alias("size"), *mins)
@@ -149,12 +172,24 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataF
         spark.conf.set(conf, before)
 
 
-def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, target_recall: float = 0.98, trees: int = TREES) -> DataFrame:
-    """``(a, b, jaccard)`` between the texts ``docs(id, w)`` whose id is in ``reps(id)``, by the forest."""
+def first_depth(threshold: float, target_recall: float, trees: int) -> int:
+    """The longest prefix that gives a pair at the threshold the target recall; the shortest if none does."""
+    reached = [d for d in range(MAX_DEPTH, MIN_DEPTH - 1, -1) if met_chances(d, trees)[int(threshold * STEPS)] >= target_recall]
+    return reached[0] if reached else MIN_DEPTH
+
+
+def recall_reached(found: DataFrame, depth: int, trees: int, target_recall: float) -> bool:
+    """Whether the estimated recall reaches the target in every band of similarity that has pairs."""
+    band = F.floor(F.col("jaccard") * RECALL_BANDS).alias("band")
+    rates = found.groupBy(band).agg((F.count("*") / F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).alias("rate"))
+    return rates.where(F.col("rate") < target_recall).isEmpty()
+
+
+def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, target_recall: float = 0.98, trees: int = TREES, start: int | None = None) -> DataFrame:
+    """``(a, b, jaccard)`` between the texts ``docs(id, w)`` whose id is in ``reps(id)``, by the forest, from depth ``start``."""
     sigs = materialise(signatures(docs, n).join(reps, "id", "left_semi"), "signatures")
     found = tried = None
-    reached = [d for d in range(MAX_DEPTH, MIN_DEPTH - 1, -1) if 1 - (1 - threshold**d) ** trees >= target_recall]
-    for depth in range(reached[0] if reached else MIN_DEPTH, MIN_DEPTH - 1, -1):
+    for depth in range(start or first_depth(threshold, target_recall, trees), MIN_DEPTH - 1, -1):
         pairs = candidates(sigs, depth, trees, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -162,8 +197,7 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, ta
         tried = pairs if tried is None else tried.union(pairs)
         good = verify(pairs, docs, n, threshold)
         found = good if found is None else found.union(good)
-        count, weight = found.agg(F.count("*"), F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).first()
-        if count >= target_recall * (weight or 0):
+        if recall_reached(found, depth, trees, target_recall):
             break
     return found
 

@@ -119,6 +119,27 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert all(r["n_links"] == 24 and r["class_id"] == 0 for r in got)
 
 
+def test_links_near_the_threshold(spark):
+    n, pairs = 1500, []
+    for k in range(n):
+        own = [f"w{k}x{i}" for i in range(60)]
+        pairs += [(2 * k, own), (2 * k + 1, own[:41] + [f"v{k}x{i}" for i in range(19)])]  # 39 of 77 trigrams are common
+    docs = spark.createDataFrame(pairs, "id long, w array<string>").persist()
+    links = ngram_join.similar_pairs(docs, docs.select("id"), 3, 0.5)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(n)}
+    assert len(got) >= 0.98 * n
+    few = docs.where("id < 600")
+    short = ngram_join.similar_pairs(few, few.select("id"), 3, 0.5, start=5)  # depth 5 finds few of these: it has to be shortened
+    assert short.count() >= 0.97 * 300
+
+
+def test_chance_of_the_real_prefixes():
+    assert ngram_join.met_chances(3, 40)[500] < 1 - (1 - 0.5**3) ** 40  # prefixes share values
+    assert ngram_join.met_chances(3, 40)[500] >= 0.98 and ngram_join.first_depth(0.5, 0.98, 40) == 3
+    assert ngram_join.first_depth(0.3, 0.98, 40) == 2
+
+
 def removed_words(rows, width):
     first = {}
     for i, text, _ in sorted(rows, key=lambda r: r[0]):
