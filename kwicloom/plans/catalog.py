@@ -528,9 +528,11 @@ def turns_by_role_kwic(spark, sf_dir):
 @query(f"""WITH {TOKENS}, {SENTENCES}, b AS (SELECT doc_id, a, b, (SELECT coalesce(sum(n), 0) FROM (SELECT doc_id AS d2, count(*) AS n FROM t GROUP BY 1) WHERE d2 < s.doc_id)::BIGINT AS skip FROM s WHERE doc_id < 200)
 SELECT row_number() OVER (ORDER BY skip + a) - 1 AS id, skip + a AS "start", skip + b AS "end" FROM b""")
 def wmatrix_sentences(spark, sf_dir):
-    """Sentence spans rebuilt from a table of words with marks, as an annotation tool exports it (its files being the first 200 documents)."""
+    """Sentence spans rebuilt from a table of words with marks, as an annotation tool exports it, each document a file.
+
+    The SQL stops at document 199, so its rows are the first of these.
+    """
     c = corpus(spark, sf_dir, True)
-    c = Corpus(c.docs.where("doc_id < 200"), c.metadata)
     marks = c.spans("s").select("doc_id", F.explode(F.array(F.struct((F.col("start") * 3).alias("k"), F.lit("<s>").alias("word")), F.struct((F.col("end") * 3 + 2).alias("k"), F.lit("</s>").alias("word")))).alias("x")).select("doc_id", "x.*")
     rows = c.tokens().select("doc_id", (F.col("pos") * 3 + 1).alias("k"), "word").unionByName(marks)
     rows = globally(rows, [F.col("doc_id"), F.col("k")], "_row", rank=False).select("_row", "word", F.col("doc_id").alias("file"))

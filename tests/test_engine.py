@@ -207,3 +207,17 @@ def test_catalogue():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and "kwic_lines" in queries
+
+
+def test_wmatrix_sentences_of_all_documents(spark, tmp_path):
+    from kwicloom.plans import catalog
+
+    rows = [(i, f"One of {i} here. And two" + " more" * (i % 3) + "!") for i in range(230)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    skip, expected = 0, []
+    for i in range(230):
+        ends = [4, 7 + i % 3]  # "." and "!"
+        expected += [(skip, skip + ends[0]), (skip + ends[0] + 1, skip + ends[1])]
+        skip += ends[1] + 1
+    got = catalog.wmatrix_sentences(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(k, a, b) for k, (a, b) in enumerate(expected)]
