@@ -28,8 +28,8 @@ THRESHOLD = 0.75
 BINS = 64
 ROWS = 4
 BANDS = 16
-#: Lines of fewer characters, blanks and tabs aside, are never removed: there is too little in them to tell copies from chance.
-MIN_CHARS = 20
+#: Lines of fewer characters, blanks and tabs aside, are never removed: only blank lines. A line shorter than a shingle is similar to its exact copies only.
+MIN_CHARS = 1
 
 
 def line_key(line: str) -> bytes:

@@ -79,6 +79,12 @@ def test_lines(docs, rows):
         assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (len(gone[i]), sha(kept)), i
 
 
+def test_short_lines(spark):
+    rows = [(i, f"All rights reserved.\n\nok\nThe text of document {i * 7919}, {'abcdefgh'[i] * 20}", None) for i in range(8)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == {i: (4, 2 if i else 0) for i in range(8)}  # blank lines stay
+
+
 def test_drop_lines_keeps_columns(docs, rows, nothing):
     out = line_dedup.drop_lines(docs)
     assert out.columns == docs.columns
