@@ -1,7 +1,7 @@
 """Language-model scoring by compression: zstandard sizes under an in-domain and a general dictionary.
 
-A dictionary is the text that its corpus's commonest words would save most on, the best nearest its end, where
-matches are cheapest. Word counts cover every document (the general corpus) and every in-domain document, and
+A dictionary has every word that occurs twice or more in its corpus and is long enough to save anything, so it
+grows with the vocabulary; the words that save most are nearest its end, where matches are cheapest. Word counts cover every document (the general corpus) and every in-domain document, and
 are aggregated by word with map-side combine. The cross-entropy of a text under a dictionary is its compressed
 size in bits per byte; the score is the general less the in-domain cross-entropy, so higher is more in-domain.
 """
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bytes of a dictionary: the one bound on what reaches the driver.
-DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 #: Words that a task counts before it hands on its counts.
 FLUSH = 300_000
@@ -56,28 +54,30 @@ def word_counts(docs: DataFrame, text_col: str, flag: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n_general").alias("n_general"), F.sum("n_domain").alias("n_domain"))
 
 
-def dictionary(counts: DataFrame, n: str, size: int = DICTIONARY_BYTES) -> bytes:
-    """The words that save most, best last, in at most ``size`` bytes; a word of b bytes saves about b - 3 each time."""
+def dictionary(counts: DataFrame, n: str, size: int | None = None) -> bytes:
+    """The words that save most, best last, in at most ``size`` bytes if given; a word of b bytes saves about b - 3 each time."""
     saved = F.col(n) * (F.octet_length("word") - 3)
-    # a word that counts has 4 bytes and a blank, so more than size / 5 words never fit
-    best = counts.where((F.col(n) > 1) & (F.octet_length("word").between(4, 255))).orderBy(saved.desc(), "word").limit(size // 5).select("word").collect()
+    best = counts.where((F.col(n) > 1) & (F.octet_length("word") >= 4)).orderBy(saved.desc(), "word").select("word")
+    if size is not None:
+        best = best.limit(size // 5)  # a word that counts has 4 bytes and a blank, so more never fit
     out, left = [], size
-    for row in best:
-        raw = row["word"].encode() + b" "
-        if len(raw) > left:
-            break
+    for word in best.toArrow().column("word"):
+        raw = word.as_py().encode() + b" "
+        if left is not None:
+            if len(raw) > left:
+                break
+            left -= len(raw)
         out.append(raw)
-        left -= len(raw)
     return b"".join(reversed(out))
 
 
-def compression_scores(docs: DataFrame, domain_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY_BYTES) -> DataFrame:
+def compression_scores(docs: DataFrame, domain_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
     """One row per document: id, ``n_bytes, general_bytes, domain_bytes, score``.
 
     domain_ids: the ids of the in-domain documents, in a column named ``id_col``. score is
     ``8 * (general_bytes - domain_bytes) / n_bytes``, in bits per byte; 0 for null or empty text. Without
     in-domain documents the domain dictionary is empty and scores compare with that. Repeated rows are each
-    scored; no rows give no rows. Whole texts are compressed, one at a time.
+    scored; no rows give no rows. ``size`` bounds a dictionary's bytes; None takes all words. Whole texts are compressed, one at a time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = domain_ids.select(F.col(id_col).alias("_own")).distinct()
@@ -90,6 +90,8 @@ def compression_scores(docs: DataFrame, domain_ids: DataFrame, id_col: str = "do
 
 
 def score_with(docs: DataFrame, general: bytes, domain: bytes, id_col: str, text_col: str, kind: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((general, domain))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compressor(raw: bytes) -> zstandard.ZstdCompressor:
             if not raw:
@@ -98,7 +100,7 @@ def score_with(docs: DataFrame, general: bytes, domain: bytes, id_col: str, text
             data.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(dict_data=data)
 
-        g, d = compressor(general), compressor(domain)
+        g, d = map(compressor, shared.value)
         for batch in batches:
             raws = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             n, a, b = [len(r) for r in raws], [len(g.compress(r)) if r else 0 for r in raws], [len(d.compress(r)) if r else 0 for r in raws]

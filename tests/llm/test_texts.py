@@ -112,6 +112,13 @@ def test_scores(spark, docs, rows, nothing):
 WORDS = {"en": "the of and with that from this have were which their there".split(), "de": "der die und nicht eine wurde zwischen über für können".split(), "fr": "le la les des être où façon était pour dans".split()}
 
 
+def test_dictionaries_grow_with_the_vocabulary(spark):
+    words = [f"word{k:06d}" for k in range(20_000)] + ["漢" * 100]
+    counts = spark.createDataFrame([(w, 2, 0) for w in words], "word string, n_general long, n_domain long")
+    assert sorted(lm_score.dictionary(counts, "n_general").decode().split()) == sorted(words)  # 220 KB, and a word of 300 bytes
+    assert lm_score.dictionary(counts, "n_domain") == b""
+
+
 def test_language(spark, nothing):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(5, 40))), lang) for i in range(300) for lang in [rng.choice(list(WORDS))]]
