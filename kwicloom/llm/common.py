@@ -3,6 +3,7 @@ documents into units, skew-safe lookups and connected components."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,16 @@ BITS = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; set here only if unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine) gets a folder of its own; a cluster is refused, as a
+    machine's own folder would not outlive it.
+    """
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not where:
-        where = "file:///tmp/kwicloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="kwicloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -35,6 +42,20 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``_row``, so that no name of theirs meets a name of ours; ``more`` columns beside it."""
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), *more)
+
+
+def unboxed(df: DataFrame, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The columns of ``_row`` again, some changed."""
+    return df.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,8 @@
 Reference blocks are the non-overlapping runs of ``window / 2`` words of each document; every rolling run of
 that many words of every document probes them. A window of ``window`` words that occurs in two documents holds
 a whole reference block of either, so some probe of each hits. A hit is extended by half a window to both
-sides; windows there are compared by 128-bit hashes of their words, whose runs are the maximal exact repeats.
+sides; windows there are compared by a 128-bit BLAKE2 digest of their words, whose runs are the maximal exact
+repeats. The rolling hashes only propose: what they confuse, the digest of the words tells apart.
 
 Each unit sends every distinct probe once, as 32 bits per hash, so a passage of a third of all documents costs
 one value per unit; windows go out once per unit too, with the smallest id that has them.
@@ -12,15 +13,17 @@ one value per unit; windows go out once per unit too, with the smallest id that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import boxed, materialise, unboxed
 from .pieces import span_hashes
-from .units import by_bucket, covered, distinct_pairs, dumps, exchange, loads, meet, n_units, pick_shared, rolling, rows_of, second, sha256, shared_places, short, to_units
+from .units import MAIL, Places, columns_of, covered, delivered, distinct_pairs, dumps, exchange, id_of, loads, meet, n_units, pick_shared, probe_mail, rolling, rows_of, scatter, sha256, shared_places, to_units, with_id
 
 WINDOW = 50
 IS_BLOCK, IN_SEVERAL = 1, 2
@@ -48,23 +51,31 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined(raw: bytes) -> bytes:
+    """The words of UTF-8 bytes, joined by single blanks; ``bytes.split`` knows the same white space as the words."""
+    return b" ".join(raw.split())
+
+
 class Unit:
     """The documents of a unit as one row of word hashes."""
 
     def __init__(self, table: pa.Table):
         self.rows = rows_of(table)
-        self.spans = []
+        self.texts, self.starts, self.ends = [], [], []
         hashes, sizes = [], []
         for _, raw in self.rows:
-            starts, ends = word_spans(raw)
-            self.spans.append((starts, ends))
-            hashes.append(word_hashes(raw, starts, ends))
+            text = joined(raw)
+            starts, ends = word_spans(text)
+            self.texts.append(text)
+            self.starts.append(starts)
+            self.ends.append(ends)
+            hashes.append(word_hashes(text, starts, ends))
             sizes.append(len(starts))
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.sizes = np.array(sizes, np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.ids = [k for k, _ in self.rows]
+        self.ids = np.array([k for k, _ in self.rows], np.int64)
 
     def inside(self, k: int) -> np.ndarray:
         """Places where ``k`` words begin that are all of one document."""
@@ -77,27 +88,39 @@ class Unit:
         at = self.inside(k)
         return at, rolling(self.words, k)[at]
 
+    def digests(self, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 128-bit digests, in two halves, of the ``k`` words at each of the places, which ascend."""
+        out = bytearray()
+        doc = self.doc[starts]
+        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(doc)) + 1):
+            d = int(doc[part[0]])
+            at = starts[part] - self.first[d]
+            view = memoryview(self.texts[d])
+            for a, b in zip(self.starts[d][at].tolist(), self.ends[d][at + k - 1].tolist()):
+                out += blake2b(view[a:b], digest_size=16).digest()
+        both = np.frombuffer(bytes(out), np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
 
 def removed_words(docs: DataFrame, id_col: str, text_col: str, window: int, emit, schema: str) -> DataFrame:
     """``emit(id, text, starts, ends, removed mask)`` of every document, as rows of ``schema``."""
     half = window // 2
     n = n_units(docs, text_col)
+    places = Places.of(n)
     units = to_units(docs, id_col, text_col, n)
 
     def probe(unit: int, table: pa.Table) -> Iterator[tuple]:
         u = Unit(table)
         at, hashes = u.probes(half)
-        place = at - u.first[u.doc[at]]
-        ids = np.array([hash(x) for x in u.ids], np.int64)[u.doc[at]]
-        for b, k in by_bucket(hashes, n):
-            own = short(hashes[k])
-            order = np.argsort(own, kind="stable")
-            k, own = k[order], own[order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            block = np.bitwise_or.reduceat((place[k] % half == 0).astype(np.uint8), first)
-            several = np.minimum.reduceat(ids[k], first) != np.maximum.reduceat(ids[k], first)
-            marks = block * IS_BLOCK + several.astype(np.uint8) * IN_SEVERAL
-            yield b, unit, dumps((own[first], marks, np.ones(len(first), np.uint8)))
+        if not len(at):
+            return
+        order = np.argsort(hashes, kind="stable")
+        at, hashes = at[order], hashes[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        ids = u.ids[u.doc[at]]
+        block = np.bitwise_or.reduceat(((at - u.first[u.doc[at]]) % half == 0).astype(np.uint8), first)
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        yield from probe_mail(unit, hashes[first], block * IS_BLOCK + several.astype(np.uint8) * IN_SEVERAL, np.ones(len(first), np.uint8), places)
 
     def hit(marks: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
         return ((marks & IS_BLOCK) > 0) & ((seen > 1) | ((marks & IN_SEVERAL) > 0))
@@ -108,33 +131,25 @@ def removed_words(docs: DataFrame, id_col: str, text_col: str, window: int, emit
         u = Unit(texts)
         at, hashes = u.probes(half)
         mark = np.zeros(len(u.words) + 1, np.int64)
-        mark[at[shared_places(hashes, n, [loads(x) for x in hits.column("data").to_pylist()]) > 0] + 1] = 1
+        mark[at[shared_places(hashes, n, hits) > 0] + 1] = 1
         total = np.cumsum(mark)
         starts = u.inside(window)
         starts = starts[total[starts + (window - half) + 1] > total[starts]]
         if not len(starts):
             return
-        h1, h2 = rolling(u.words, window)[starts], rolling(second(u.words), window)[starts]
+        h1, h2 = u.digests(starts, window)
         order, first, which = distinct_pairs(h1, h2)
         doc = u.doc[starts]
         least = np.minimum.reduceat(doc[order], first)  # rows are sorted by id
         v1, v2 = h1[order[first]], h2[order[first]]
         yield -1, unit, dumps((starts.astype(np.int64), which.astype(np.int32), least))
-        for b, k in by_bucket(v1, n):
-            yield b, unit, dumps((k, v1[k], v2[k], [u.ids[d] for d in least[k].tolist()]))
+        yield from scatter((v1 % np.uint64(n)).astype(np.int64), (np.arange(len(v1), dtype=np.int32), v1, v2, u.ids[least], np.full(len(v1), unit, np.int32)), places, unit)
 
     def earliest(bucket: int, table: pa.Table) -> Iterator[tuple]:
-        parts = [loads(x) for x in table.column("data").to_pylist()]
-        h1, h2 = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        ids = np.array([x for p in parts for x in p[3]])
+        k, h1, h2, ids, unit = columns_of(table)
         order, first, which = distinct_pairs(h1, h2)
-        least = np.minimum.reduceat(ids[order], first)[which]
-        later, at = least < ids, 0
-        for unit, p in zip(table.column("unit").to_pylist(), parts):
-            mine = p[0][later[at : at + len(p[0])]]
-            at += len(p[0])
-            if len(mine):
-                yield 1, unit, dumps(mine)
+        later = np.minimum.reduceat(ids[order], first)[which] < ids
+        yield from scatter(unit[later], (k[later],), places, bucket)
 
     def cut(unit: int, texts: pa.Table, told: pa.Table) -> Iterator[tuple]:
         rows = rows_of(texts) if texts.num_rows else []
@@ -142,12 +157,13 @@ def removed_words(docs: DataFrame, id_col: str, text_col: str, window: int, emit
         sizes = np.array([len(s) for s, _ in spans], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         gone = np.zeros(int(begin[-1]), bool)
-        by_kind = {kind: [loads(d) for k, d in zip(told.column("kind").to_pylist(), told.column("data").to_pylist()) if k == kind] for kind in (-1, 1)}
-        if by_kind[-1]:
-            starts, which, least = by_kind[-1][0]
+        own = [loads(d) for d, mine in zip(told.column("data").to_pylist(), told.column("own").to_pylist()) if mine]
+        if own:
+            starts, which, least = own[0]
             later = np.zeros(len(least), bool)
-            for mine in by_kind[1]:
-                later[mine] = True
+            replies = told.filter(pc.invert(told.column("own")))
+            if replies.num_rows:
+                later[columns_of(replies)[0]] = True
             doc = np.searchsorted(begin, starts, side="right") - 1
             ids = [k for k, _ in rows]
             same = np.zeros(len(rows), np.int64)  # rows of one id are one document here
@@ -157,11 +173,12 @@ def removed_words(docs: DataFrame, id_col: str, text_col: str, window: int, emit
         for k, (key, raw) in enumerate(rows):
             yield emit(key, raw, *spans[k], gone[begin[k] : begin[k + 1]])
 
-    asked = exchange(units, "unit", probe, "bucket int, unit int, data binary")
-    hits = exchange(asked, "bucket", lambda b, t: pick_shared(b, t, hit), "unit int, data binary")
-    found = materialise(meet(units, hits, "unit", windows, "kind int, unit int, data binary"), "windows")
-    later = exchange(found.where("kind >= 0"), "kind", earliest, "kind int, unit int, data binary")
-    return meet(units, found.where("kind < 0").union(later), "unit", cut, schema)
+    asked = delivered(exchange(units, "unit", probe, MAIL), places)
+    hits = delivered(exchange(asked, "dest", lambda b, t: pick_shared(b, t, hit, places), MAIL), places).withColumnRenamed("dest", "unit")
+    found = materialise(meet(units, hits, "unit", windows, MAIL), "windows")
+    later = delivered(exchange(delivered(found.where("dest >= 0"), places), "dest", earliest, MAIL), places)
+    own = found.where("dest < 0").select(F.col("source").alias("unit"), "data", F.lit(True).alias("own"))
+    return meet(units, own.union(later.select(F.col("dest").alias("unit"), "data", F.lit(False).alias("own"))), "unit", cut, schema)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -169,14 +186,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word is removed when a window of ``window`` words that covers it also starts in a document with a smaller
     id; windows are judged on the input. Null or empty text has no words. Rows that repeat an id count as one
-    document: their windows do not remove each other's words. ids are whole numbers. No rows give no rows.
+    document: their windows do not remove each other's words. ids are whole numbers; a null id is smaller than
+    all others. No rows give no rows.
     """
 
     def emit(key: int, raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple:
         kept = b" ".join([raw[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist())])
         return (key, len(starts), int(gone.sum()), sha256(kept), *([kept.decode("utf-8", "replace")] if with_text else []))
 
-    return removed_words(docs, id_col, text_col, window, emit, f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    return with_id(removed_words(docs, id_col, text_col, window, emit, schema), id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
@@ -198,10 +217,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     changes = removed_words(docs, id_col, text_col, window, emit, "_key long, _sha string, _kind int, _text string")
     changes = materialise(changes.where("_kind > 0").dropDuplicates(["_key", "_sha"]), "cuts")
-    joined = docs.withColumn("_own", F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(changes, (F.col(id_col) == F.col("_key")) & (F.col("_own") == F.col("_sha")), "left")
-    joined = joined.where(F.coalesce("_kind", F.lit(0)) < 2)
-    changed = F.col("_kind") == 1
-    joined = joined.withColumn(text_col, F.when(changed, F.col("_text")).otherwise(F.col(text_col)))
+    rows = boxed(docs, id_of(id_col).alias("_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("_own"))
+    found = rows.join(changes, (F.col("_id") == F.col("_key")) & (F.col("_own") == F.col("_sha")), "left").where(F.coalesce("_kind", F.lit(0)) < 2)
+    changed, new = F.col("_kind") == 1, {}
+    new[text_col] = F.when(changed, F.col("_text")).otherwise(F.col("_row").getField(text_col))
     if n_chars_col in docs.columns:
-        joined = joined.withColumn(n_chars_col, F.when(changed, F.length("_text").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
-    return joined.select(*docs.columns)
+        new[n_chars_col] = F.when(changed, F.length("_text").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col("_row").getField(n_chars_col))
+    return unboxed(found, docs.columns, new)

@@ -3,16 +3,16 @@
 Suffixes are classified as L or S; leftmost S suffixes (LMS) are sorted by recursion on the names of their
 substrings; L suffixes are induced from them bucket by bucket from the left, S suffixes from the right. Within
 a bucket, everything that one wave of entries induces is placed at once, so work is linear and the number of
-array operations is that of buckets and of equal-character runs. When the names of a level are too many for
-that to pay, their ranks are doubled instead.
+array operations is that of buckets and of equal-character runs. Where a level has many names for its length,
+waves are short, and suffixes are induced one by one, in the same order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which a level is sorted by induction.
-INDUCED = 2048
+#: A level is induced in waves if it has at least so many suffixes to a name, else one by one.
+PER_NAME = 64
 
 
 def types(s: np.ndarray) -> np.ndarray:
@@ -89,38 +89,47 @@ def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray)
     return sa
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling ranks."""
+def induce_singly(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As ``induce``, one suffix after the other: for levels of so many names that waves would be short."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        if step < n:
-            second[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
+    ends = np.cumsum(sizes) - 1
+    starts = (ends + 1 - sizes).tolist()
+    char, small = s.tolist(), is_s.tolist()
+    sa = [-1] * n
+    tails = ends.tolist()
+    for i in lms[::-1].tolist():
+        c = char[i]
+        sa[tails[c]] = i
+        tails[c] -= 1
+    for at in range(n):
+        i = sa[at] - 1
+        if i >= 0 and not small[i]:
+            c = char[i]
+            sa[starts[c]] = i
+            starts[c] += 1
+    tails = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at] - 1
+        if i >= 0 and small[i]:
+            c = char[i]
+            sa[tails[c]] = i
+            tails[c] -= 1
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The suffix array of small whole numbers that end with a 0 which occurs nowhere else."""
+    """The suffix array of small whole numbers that end with a 0 which occurs nowhere else; induced at every level."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     s = s.astype(np.int64)
     sigma = int(s.max()) + 1
-    if sigma > max(INDUCED, 257):
-        return doubled(s)
+    induced = induce if n >= sigma * PER_NAME else induce_singly
     is_s = types(s)
     sizes = np.bincount(s, minlength=sigma)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    sa = induce(s, is_s, lms, sizes)
+    sa = induced(s, is_s, lms, sizes)
     if len(lms) < 2:
         return sa
     flag = np.zeros(n, bool)
@@ -146,7 +155,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         order = ranked
     else:
         order = lms[suffix_array(reduced)]
-    return induce(s, is_s, order, sizes)
+    return induced(s, is_s, order, sizes)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:

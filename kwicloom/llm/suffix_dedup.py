@@ -8,8 +8,8 @@ each of their occurrences, the windows that it anchors lie in one stretch of tex
 * The different contexts of an anchor go to one shard, which concatenates its contexts and builds their suffix
   array by induced sorting and the permuted common prefixes. Suffixes that share ``width`` bytes are
   neighbours; of each such group, the first window in document order stays.
-* An anchor with over ``hot`` occurrences may have too many contexts for one task. Its windows are spread over
-  all shards by a 128-bit hash of each window instead, once per unit, and equal ones meet there.
+* An anchor with over ``hot`` occurrences may have too many contexts for one task. Each of its windows is then
+  a context of its own, spread over all shards by its bytes, once per unit; equal ones meet there, by their bytes.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import materialise
 from .pieces import mix
 from .suffix_array import permuted_common_prefixes, suffix_array
-from .units import STEP, by_bucket, distinct_pairs, dumps, exchange, loads, meet, n_units, pick_shared, rolling, rows_of, second, sha256, shared_places, short, to_units
+from .units import MAIL, Places, STEP, columns_of, delivered, dumps, exchange, loads, meet, n_units, pick_shared, probe_mail, rolling, rows_of, scatter, sha256, shared_places, to_units, with_id
 
 WIDTH = 100
 GRAM = 50
 HOT = 50_000
-ONCE_MORE = 1
 
 
 def leftmost_least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,13 +156,13 @@ def later_windows(contexts: list[bytes], keys: list[tuple], width: int) -> dict[
 
 def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int, hot: int, emit, schema: str) -> DataFrame:
     n = n_units(docs, text_col)
+    places = Places.of(n)
     units = to_units(docs, id_col, text_col, n)
 
     def anchors(unit: int, table: pa.Table) -> Iterator[tuple]:
         u = Unit(table, width, gram)
-        for b, k in by_bucket(u.hash, n):
-            own, counts = np.unique(short(u.hash[k]), return_counts=True)
-            yield b, unit, dumps((own, (counts > 1).astype(np.uint8) * ONCE_MORE, np.minimum(counts, 1 << 30).astype(np.int32)))
+        own, counts = np.unique(u.hash, return_counts=True)
+        yield from probe_mail(unit, own, np.zeros(len(own), np.uint8), np.minimum(counts, 1 << 30).astype(np.int32), places)
 
     def hit(marks: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
         return np.where(counts > hot, 2, counts > 1)
@@ -171,97 +171,81 @@ def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram:
         if not hits.num_rows or not texts.num_rows:
             return
         u = Unit(texts, width, gram)
-        kind = shared_places(u.hash, n, [loads(x) for x in hits.column("data").to_pylist()])
+        kind = shared_places(u.hash, n, hits)
         raw = u.raw
-        seen: dict[bytes, int] = {}
-        gone, sent = [], {}
-        some = np.flatnonzero(kind == 1)
-        docs_of = u.doc(u.lo[some])
-        for k, d in zip(some.tolist(), docs_of.tolist()):
-            lo, hi = int(u.lo[k]), int(u.hi[k])
+        some, many = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        at, _ = windows_of(u.lo[many], u.hi[many])
+        whole = rolling(u.bytes, width)[at] if len(at) else np.zeros(0, np.uint64)
+        first, last = np.concatenate([u.lo[some], at]), np.concatenate([u.hi[some], at])
+        route = np.concatenate([u.hash[some], whole])
+        order = np.argsort(first, kind="stable")  # document order, so the first in the unit comes first
+        seen: set[bytes] = set()
+        gone, sent, parts = [], [], []
+        for k, lo, hi in zip(order.tolist(), first[order].tolist(), last[order].tolist()):
             text = raw[lo : hi + width]
-            if text in seen:  # rows are in document order, so the first in the unit comes first
+            if text in seen:
                 gone.append((lo, hi))
             else:
-                seen[text] = lo
-                sent.setdefault(int(mix(u.hash[k : k + 1])[0] % np.uint64(n)), []).append((lo, d, int(u.hash[k]), text))
-        for b, items in sent.items():
-            keys = [(u.rows[d][0], d, lo - int(u.first[d])) for lo, d, _, _ in items]
-            yield b, unit, dumps((0, [lo for lo, *_ in items], keys, [h for _, _, h, _ in items], [t for *_, t in items]), 3)
-        lost = [np.array(gone, np.int64).reshape(-1, 2)]
-        some = np.flatnonzero(kind == 2)
-        if len(some):
-            at, _ = windows_of(u.lo[some], u.hi[some])
-            h1, h2 = rolling(u.bytes, width)[at], rolling(second(u.bytes), width)[at]
-            order, first, which = distinct_pairs(h1, h2)
-            again = np.ones(len(at), bool)
-            again[order[first]] = False  # lexsort is stable, so a group's first is its earliest
-            lost.append(np.repeat(at[again], 2).reshape(-1, 2))
-            lead = order[first]
-            d = u.doc(at[lead])
-            for b, k in by_bucket(h1[lead], n):
-                m = lead[k]
-                yield b, unit, dumps((1, at[m], h1[m], h2[m], [(u.rows[x][0], unit, x, p) for x, p in zip(d[k].tolist(), (at[m] - u.first[d[k]]).tolist())]))
-        yield -1, unit, dumps((2, np.concatenate(lost)))
+                seen.add(text)
+                sent.append(k)
+                parts.append(text)
+        del seen
+        if sent:
+            text = np.empty(len(parts), object)
+            text[:] = parts
+            lo, route = first[sent], route[sent]
+            d = u.doc(lo)
+            ids = np.array([k for k, _ in u.rows], np.int64)[d]
+            yield from scatter((mix(route) % np.uint64(n)).astype(np.int64), (lo, ids, d, lo - u.first[d], route, text, np.full(len(lo), unit, np.int32)), places, unit, 3)
+        yield -1, unit, dumps(np.array(gone, np.int64).reshape(-1, 2))
 
     def shard(bucket: int, table: pa.Table) -> Iterator[tuple]:
-        units_of, parts = table.column("unit").to_pylist(), [loads(x) for x in table.column("data").to_pylist()]
         lost: dict[int, list[tuple[int, int]]] = {}
         first: dict[bytes, tuple] = {}
-        for unit, part in zip(units_of, parts):
-            if part[0] == 0:
-                for lo, key, h, text in zip(*part[1:]):
-                    order = (key[0], unit, key[1], key[2])
-                    old = first.get(text)
-                    if old is None:
-                        first[text] = (order, unit, lo, h)
-                    else:
-                        loser = (unit, lo) if old[0] < order else (old[1], old[2])
-                        if order < old[0]:
-                            first[text] = (order, unit, lo, h)
-                        lost.setdefault(loser[0], []).append((loser[1], loser[1] + len(text) - width))
+        for lo, key, d, at, h, text, unit in zip(*(c.tolist() for c in columns_of(table))):
+            own = (key, unit, d, at)
+            old = first.get(text)
+            if old is None:
+                first[text] = (own, unit, lo, h)
+                continue
+            loser = (unit, lo) if old[0] < own else (old[1], old[2])
+            if own < old[0]:
+                first[text] = (own, unit, lo, h)
+            lost.setdefault(loser[0], []).append((loser[1], loser[1] + len(text) - width))
         per_anchor: dict[int, int] = {}
         for *_, h in first.values():
             per_anchor[h] = per_anchor.get(h, 0) + 1
         # equal windows have their anchor at the same place, so a context never repeats one within itself
         left = [(text, x) for text, x in first.items() if per_anchor[x[3]] > 1]
+        del first
         if left:
             left.sort(key=lambda x: x[1][0])
             found = later_windows([t for t, _ in left], [x[0] for _, x in left], width)
             for k, inner in found.items():
                 _, unit, lo, _ = left[k][1]
                 lost.setdefault(unit, []).extend((lo + i, lo + i) for i in inner.tolist())
-        hot_parts = [(u, p) for u, p in zip(units_of, parts) if p[0] == 1]
-        if hot_parts:
-            h1, h2 = (np.concatenate([p[i] for _, p in hot_parts]) for i in (2, 3))
-            keys = [k for _, p in hot_parts for k in p[4]]
-            rank = np.empty(len(keys), np.int64)
-            rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-            order, start, which = distinct_pairs(h1, h2)
-            later, at = rank > np.minimum.reduceat(rank[order], start)[which], 0
-            for unit, p in hot_parts:
-                lost.setdefault(unit, []).extend((x, x) for x in p[1][later[at : at + len(p[1])]].tolist())
-                at += len(p[1])
         for unit, pairs in lost.items():
-            yield -1, unit, dumps((2, np.array(pairs, np.int64).reshape(-1, 2)))
+            both = np.array(pairs, np.int64).reshape(-1, 2)
+            yield from scatter(np.full(len(both), unit, np.int32), (both,), places, bucket)
 
     def cut(unit: int, texts: pa.Table, told: pa.Table) -> Iterator[tuple]:
         rows = rows_of(texts) if texts.num_rows else []
         begin = np.concatenate([[0], np.cumsum([len(raw) for _, raw in rows])]).astype(np.int64)
         step = np.zeros(int(begin[-1]) + 1, np.int64)
-        for blob in told.column("data").to_pylist():
-            pairs = loads(blob)[1]
+        for blob, own in zip(told.column("data").to_pylist(), told.column("own").to_pylist()):
+            pairs = loads(blob) if own else loads(blob)[1]
             np.add.at(step, pairs[:, 0], 1)
             np.add.at(step, pairs[:, 1] + width, -1)
         gone = np.cumsum(step[:-1]) > 0
         for k, (key, raw) in enumerate(rows):
             yield emit(key, raw, gone[begin[k] : begin[k + 1]])
 
-    asked = exchange(units, "unit", anchors, "bucket int, unit int, data binary")
-    hits = exchange(asked, "bucket", lambda b, t: pick_shared(b, t, hit), "unit int, data binary")
-    found = materialise(meet(units, hits, "unit", contexts, "bucket int, unit int, data binary"), "contexts")
-    later = exchange(found.where("bucket >= 0"), "bucket", shard, "bucket int, unit int, data binary")
-    return meet(units, found.where("bucket < 0").union(later), "unit", cut, schema)
+    asked = delivered(exchange(units, "unit", anchors, MAIL), places)
+    hits = delivered(exchange(asked, "dest", lambda b, t: pick_shared(b, t, hit, places), MAIL), places).withColumnRenamed("dest", "unit")
+    found = materialise(meet(units, hits, "unit", contexts, MAIL), "contexts")
+    later = delivered(exchange(delivered(found.where("dest >= 0"), places), "dest", shard, MAIL), places)
+    own = found.where("dest < 0").select(F.col("source").alias("unit"), "data", F.lit(True).alias("own"))
+    return meet(units, own.union(later.select(F.col("dest").alias("unit"), "data", F.lit(False).alias("own"))), "unit", cut, schema)
 
 
 def suffix_dedup(
@@ -271,8 +255,8 @@ def suffix_dedup(
 
     Removed is each byte covered by a string of ``width`` bytes that also starts earlier: in a document with a
     smaller id, or before in the same document; strings are judged on the input. Null counts as empty; no match
-    crosses documents. Rows that repeat an id follow each other by their bytes. ids are whole numbers. No rows
-    give no rows.
+    crosses documents. Rows that repeat an id follow each other by their bytes. ids are whole numbers; a null id
+    is smaller than all others. No rows give no rows.
     """
 
     def emit(key: int, raw: bytes, gone: np.ndarray) -> tuple:
@@ -281,5 +265,5 @@ def suffix_dedup(
         more = [str(edge.reshape(-1, 2).tolist())] if with_spans else []
         return (key, len(raw), int(gone.sum()), len(edge) // 2, sha256(kept), *more)
 
-    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans string" if with_spans else "")
-    return removed_bytes(docs, id_col, text_col, width, gram, hot, emit, schema)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans string" if with_spans else "")
+    return with_id(removed_bytes(docs, id_col, text_col, width, gram, hot, emit, schema), id_col)

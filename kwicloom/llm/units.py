@@ -1,8 +1,10 @@
 """Units of documents and blobs between them: the exchange that the substring operators share.
 
-A unit is all documents whose id hashes to one number, about ``UNIT_BYTES`` of text. Arrays travel between
-units and buckets as compressed blobs, one row per (unit, bucket), which keeps per-row costs away from
-millions of small values. Whatever a stage needs from an earlier one is computed again or sent: units are
+A unit is all documents whose id hashes to one number, about ``UNIT_BYTES`` of text. Columns (equally long
+arrays) travel between units and buckets as compressed blobs, which keeps per-row costs away from millions of
+small values. A sender makes at most ``FAN`` blobs: beyond that many destinations they go by relays, each of
+which reads the blobs of ``FAN`` senders for one first hop, so blobs grow in proportion to the input and not
+with its square. Whatever a stage needs from an earlier one is computed again or sent: units are
 deterministic, so a lost task is simply repeated.
 """
 
@@ -12,6 +14,7 @@ import ctypes
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,10 @@ from .common import partitions
 from .pieces import mix
 
 UNIT_BYTES = 8 << 20
+#: Blobs of one sender at most, and senders of one relay.
+FAN = 4096
+#: Stands for a null id, which comes before all others.
+NO_ID = -(1 << 63)
 #: Rows of this many values at most are hashed at once.
 STEP = 1 << 20
 
@@ -48,6 +55,16 @@ def n_units(docs: DataFrame, text_col: str) -> int:
     return max(partitions(docs.sparkSession), -(-size // UNIT_BYTES))
 
 
+def id_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def with_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` whose first column holds ids, under the name ``id_col`` and with nulls again."""
+    first, *rest = df.columns
+    return df.select(F.nullif(F.col(first), F.lit(NO_ID)).alias(id_col), *rest)
+
+
 def to_units(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """``(unit, data)`` rows; each blob holds ids and UTF-8 texts of some of the unit's documents."""
     unit: Column = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
@@ -67,7 +84,7 @@ def to_units(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             del ids, texts, blobs
             trim()
 
-    return docs.select(unit.alias("unit"), F.col(id_col), F.col(text_col)).mapInArrow(run, "unit int, data binary")
+    return docs.select(unit.alias("unit"), id_of(id_col), F.col(text_col)).mapInArrow(run, "unit int, data binary")
 
 
 def rows_of(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -75,7 +92,7 @@ def rows_of(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(x for blob in table.column("data").to_pylist() for x in loads(blob))
 
 
-def exchange(df: DataFrame, key: str, fn: Callable[[int, pa.Table], Iterator[tuple]], schema: str) -> DataFrame:
+def exchange(df: DataFrame, key: str | Column, fn: Callable[[int, pa.Table], Iterator[tuple]], schema: str) -> DataFrame:
     """Group by ``key`` and turn each group into rows by ``fn(key, table)``."""
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -133,14 +150,62 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def by_bucket(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket of ``n`` and the places of its hashes."""
-    bucket = (hashes % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
+def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number below ``n`` that ``bucket`` has, and its places."""
+    bucket = bucket.astype(np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     order = np.argsort(bucket, kind="stable")
-    edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=n)))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    ranked = bucket[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ranked)]):
+        yield int(ranked[a]), order[a:b]
+
+
+MAIL = "dest int, source int, data binary"
+
+
+class Places(NamedTuple):
+    """``n`` destinations; a sender makes at most ``fan`` blobs."""
+
+    n: int
+    fan: int
+
+    @classmethod
+    def of(cls, n: int) -> Places:
+        return cls(n, FAN)
+
+
+def scatter(dest: np.ndarray, columns: tuple[np.ndarray, ...], places: Places, source: int, level: int = 1) -> Iterator[tuple[int, int, bytes]]:
+    """Rows of ``MAIL``: the columns cut by destination or by the first hop to it."""
+    n, fan = places
+    far = n > fan
+    for hop, at in by_bucket(dest % fan if far else dest, min(n, fan)):
+        further = (dest[at] // fan).astype(np.int32) if far else None
+        yield hop, source, dumps((further, *[c[at] for c in columns]), level)
+
+
+def columns_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """The columns of all blobs that came to one destination."""
+    parts = [loads(b) for b in table.column("data").to_pylist()]
+    return tuple(np.concatenate(c) for c in list(zip(*parts))[1:])
+
+
+def delivered(mail: DataFrame, places: Places) -> DataFrame:
+    """Rows ``(dest, data)`` of ``mail`` at their destinations."""
+    n, fan = places
+    if n <= fan:
+        return mail.select("dest", "data")
+
+    def run(k: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        try:
+            parts = [loads(b) for b in table.column("data").to_pylist()]
+            further, *columns = (np.concatenate(c) for c in zip(*parts))
+            rows = ((int(f) * fan + k[0].as_py(), dumps((None, *[c[at] for c in columns]))) for f, at in by_bucket(further, -(-n // fan)))
+            return as_table(rows, "dest int, data binary", ["dest", "data"])
+        finally:
+            trim()
+
+    relays = mail.withColumn("relay", F.floor(F.col("source") / fan).cast("int"))
+    return relays.select("dest", "relay", "data").groupBy("dest", "relay").applyInArrow(run, "dest int, data binary")
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
@@ -160,43 +225,46 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def pick_shared(bucket: int, table: pa.Table, shared: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def probe_mail(unit: int, hashes: np.ndarray, marks: np.ndarray, counts: np.ndarray, places: Places) -> Iterator[tuple[int, int, bytes]]:
+    """The hashes of a unit, each with its mark and count, to their buckets."""
+    yield from scatter((hashes % np.uint64(places.n)).astype(np.int64), (short(hashes), marks, counts, np.full(len(hashes), unit, np.int32)), places, unit)
+
+
+def pick_shared(bucket: int, table: pa.Table, shared: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], places: Places) -> Iterator[tuple[int, int, bytes]]:
     """Tell each unit which of its short hashes are shared.
 
-    The blobs hold (short hashes, sorted and distinct; their marks; their counts). ``shared(marks, counts, units)``
-    gets, for each distinct short hash, the marks or-ed, the counts added and the number of units that have it,
-    and returns 0 for no, or another number, which is passed on.
+    ``shared(marks, counts, units)`` gets, for each distinct short hash, the marks or-ed, the counts added and the
+    number of times that units sent it, and returns 0 for no, or another number, which is passed on.
     """
-    units = table.column("unit").to_pylist()
-    parts = [loads(b) for b in table.column("data").to_pylist()]
-    every = np.concatenate([p[0] for p in parts])
+    every, marks, counts, units = columns_of(table)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    marks = np.bitwise_or.reduceat(np.concatenate([p[1] for p in parts])[order], first)
-    counts = np.add.reduceat(np.concatenate([p[2] for p in parts]).astype(np.int64)[order], first)
-    kind = shared(marks, counts, np.diff(np.append(first, len(ranked)))).astype(np.uint8)
-    values = ranked[first]
-    values, kind = values[kind > 0], kind[kind > 0]
-    for unit, p in zip(units, parts):
-        at = np.searchsorted(values, p[0])
-        at[at == len(values)] = 0
-        mine = values[at] == p[0] if len(values) else np.zeros(len(p[0]), bool)
-        if mine.any():
-            yield unit, dumps((bucket, p[0][mine], kind[at[mine]]))
-
-
-def shared_places(hashes: np.ndarray, n_buckets: int, replies: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    first = np.flatnonzero(new)
+    marks = np.bitwise_or.reduceat(marks[order], first)
+    counts = np.add.reduceat(counts[order].astype(np.int64), first)
+    kind = shared(marks, counts, np.diff(np.append(first, len(ranked)))).astype(np.uint8)[np.cumsum(new) - 1]
+    told = kind > 0
+    units, values, kind = units[order[told]], ranked[told], kind[told]
+    yield from scatter(units, (np.full(len(units), bucket, np.int32), values, kind), places, bucket)
+
+
+def shared_places(hashes: np.ndarray, n: int, replies: pa.Table) -> np.ndarray:
     """The number that ``pick_shared`` gave each hash, 0 for those not shared."""
     out = np.zeros(len(hashes), np.uint8)
-    told = {b: (values, kind) for b, values, kind in replies}
-    for b, at in by_bucket(hashes, n_buckets):
-        if b in told:
-            values, kind = told[b]
-            own = short(hashes[at])
-            k = np.searchsorted(values, own)
-            k[k == len(values)] = 0
-            out[at] = np.where(values[k] == own, kind[k], 0)
+    if not replies.num_rows or not len(hashes):
+        return out
+    bucket, values, kind = columns_of(replies)
+    key = (bucket.astype(np.uint64) << np.uint64(32)) | values
+    order = np.argsort(key, kind="stable")
+    key, kind = key[order], kind[order]
+    for b, at in by_bucket((hashes % np.uint64(n)).astype(np.int64), n):
+        lo, hi = np.searchsorted(key, np.array([b, b + 1], np.uint64) << np.uint64(32))
+        if lo < hi:
+            own = (np.uint64(b) << np.uint64(32)) | short(hashes[at])
+            k = lo + np.searchsorted(key[lo:hi], own)
+            k[k == hi] = lo
+            out[at] = np.where(key[k] == own, kind[k], 0)
     return out
 
 

@@ -10,9 +10,9 @@ from kwicloom.llm.packing import best_fit
 from kwicloom.llm.suffix_dedup import leftmost_least
 
 
-@pytest.mark.parametrize("induced", [0, 2048])
-def test_suffix_array(monkeypatch, induced):
-    monkeypatch.setattr(suffix_array, "INDUCED", induced)
+@pytest.mark.parametrize("per_name", [0, 64, 1 << 30])
+def test_suffix_array(monkeypatch, per_name):
+    monkeypatch.setattr(suffix_array, "PER_NAME", per_name)
     rng = random.Random(3)
     for it in range(300):
         n, k = rng.randint(0, 50), rng.choice([1, 2, 3, 200])
@@ -29,6 +29,17 @@ def test_suffix_array(monkeypatch, induced):
             assert shared[a] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def test_suffix_array_of_a_long_text():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(35_000)).encode()
+    s = np.append(np.frombuffer(text, np.uint8).astype(np.int64), 0)
+    got = suffix_array.suffix_array(s)
+    assert np.array_equal(np.sort(got), np.arange(len(s)))
+    raw = text + b"\0"
+    assert all(raw[a : a + 500] <= raw[b : b + 500] for a, b in zip(got[:-1].tolist(), got[1:].tolist()))
+
+
 def test_leftmost_least():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -4,10 +4,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kwicloom.llm import exact_dedup, line_dedup, ngram_join, substring_blocks, suffix_dedup
+from kwicloom.llm import exact_dedup, line_dedup, ngram_join, substring_blocks, suffix_dedup, units
 
 from .conftest import make
 
@@ -173,6 +174,40 @@ def test_substrings(docs, rows, width, nothing):
     assert substring_blocks.substring_dedup(nothing).count() == 0
 
 
+def test_words_whose_hashes_could_be_confused(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]  # Thue-Morse words collide under polynomials modulo 2**64
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    head, tail = [f"h{i}" for i in range(24)], [f"t{i}" for i in range(25)]
+    rows = [(k, " ".join([*head, mid, *tail]), None) for k, mid in ((1, a), (2, b), (3, a))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_blocks.substring_dedup(make(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = make(spark, [(None, text, None), (5, text, None), (None, text, None)])
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_blocks.substring_dedup(df).collect()) == [(0, 0), (0, 0), (5, 60)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in suffix_dedup.suffix_dedup(df).collect()) == [(0, False), (0, True), (5, True)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.line_dedup(df).collect()) == [(0, 0), (0, 0), (5, 1)]
+    assert ngram_join.ngram_join(df).count() == exact_dedup.exact_dedup(df).count() == 3
+
+
+def test_relays_lose_nothing(docs, rows, monkeypatch, spark):
+    monkeypatch.setattr(units, "FAN", 3)
+    monkeypatch.setattr(units, "UNIT_BYTES", 6000)
+    removed = {i: sum(gone) for i, (_, gone) in removed_words(rows, 6).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_blocks.substring_dedup(docs, window=6).collect()} == removed
+    removed = {i: sum(gone) for i, (_, gone) in removed_bytes(rows, 20).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs, width=20, gram=10, hot=50).collect()} == removed
+
+
+def test_blobs_of_a_sender_are_bounded():
+    hashes = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in (10, 1000, 100_000):
+        blobs = sum(1 for _ in units.probe_mail(0, hashes, np.zeros(20_000, np.uint8), np.ones(20_000, np.uint8), units.Places.of(n)))
+        assert blobs <= min(n, units.FAN)
+
+
 def test_cut_repeats(docs, rows):
     out = substring_blocks.cut_repeats(docs, window=6)
     assert out.columns == docs.columns
