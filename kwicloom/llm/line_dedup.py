@@ -1,27 +1,27 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact Jaccard, distributed union-find.
 
-* Equal lines are one: each unit sends a line's digest once, with its first occurrence.
+* Equal lines are one: lines are grouped by their text, with map-side combine, which keeps the first occurrence.
 * Signatures: one permutation of the shingles into ``BINS`` bins, empty bins filled from the next full one;
   bands of ``ROWS`` bins are the keys under which lines meet.
-* Verification: in a bucket, each line is compared with the leader (the least digest); then, where the lines of
-  a bucket are still in several components, with every line of the other components. That loses no
+* Verification: in a band, each line is compared with the leader (the least number); then, where the lines of
+  a band are still in several components, with every line of the other components, block by block. That loses no
   connection that all pairs would give, without forming the pairs inside a component. Similarity is that of the shingle sets, exactly.
 * Components are found by union-find in rounds; the occurrence that comes first, by document and line, stays.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise
+from .common import boxed, components, lookup, materialise, partitions, unboxed
 from .pieces import mix
-from .units import dumps, exchange, loads, n_units, rolling, trim
+from .units import MAIL, STEP, Places, columns_of, delivered, exchange, id_of, rolling, scatter, trim
 
 SHINGLE = 10
 THRESHOLD = 0.75
@@ -32,8 +32,24 @@ BANDS = 16
 MIN_CHARS = 1
 
 
-def line_key(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest()
+#: Lines of more characters are compared by the hashes of their shingles.
+LONG = 20_000
+#: Band keys of one bucket, about.
+BUCKET = 1 << 20
+#: Lines of one band that meet in one task at most; larger bands are cut into blocks.
+BLOCK = 512
+
+
+def stretches(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about ``most`` characters."""
+    lo = size = 0
+    for k, line in enumerate(lines):
+        if size and size + len(line) > most:
+            yield lo, k
+            lo, size = k, 0
+        size += len(line)
+    if lo < len(lines):
+        yield lo, len(lines)
 
 
 def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +70,9 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     if bins & (bins - 1):
         raise ValueError("bins is a power of two")
     sig = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
-    flat, lo = sig.reshape(-1), 0
-    while lo < len(lines):
-        hi, size = lo, 0
-        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < 1 << 20):
-            size += len(lines[hi])
-            hi += 1
-        h, of = shingle_hashes(lines[lo:hi], k)
-        np.minimum.at(flat, (of + lo) * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
-        lo = hi
+    h, of = shingle_hashes(lines, k)
+    np.minimum.at(sig.reshape(-1), of * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
+    del h, of
     empty = sig == np.iinfo(np.uint64).max
     filled = sig.copy()
     for shift in range(1, bins):
@@ -81,181 +91,164 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     return out
 
 
-def split_shingles(lines: list[str], k: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The shingle hashes of each line, about ``most`` characters at a time."""
-    lo = 0
-    while lo < len(lines):
-        hi, size = lo, 0
-        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < most):
-            size += len(lines[hi])
-            hi += 1
-        h, of = shingle_hashes(lines[lo:hi], k)
-        edges = np.searchsorted(of, np.arange(hi - lo + 1))
-        yield from (h[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
-        lo = hi
+def jaccard(a: Collection, b: Collection) -> float:
+    """Of two sets, or of two sorted arrays."""
+    common = len(a & b) if isinstance(a, frozenset) else len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+def shingle_set(line: str, k: int) -> frozenset[str] | np.ndarray:
+    """The shingles of a line, as hashes where it is long; all lines that are compared have ``k`` characters or more."""
+    if len(line) > LONG:
+        return np.unique(shingle_hashes([line], k)[0])
+    return frozenset([line[i : i + k] for i in range(len(line) - k + 1)])
 
 
-def eligible(line: str, least: int) -> bool:
-    return len(line) >= least and len(line) - line.count(" ") - line.count("\t") - line.count("\r") >= least
+def similar(x: str, y: str, sets: dict[str, Collection], threshold: float, k: int) -> bool:
+    """Whether the Jaccard similarity of the shingles of two lines reaches the threshold; ``sets`` are kept for other pairs."""
+    if max(len(x), len(y)) > LONG:
+        a, b = (np.unique(shingle_hashes([line], k)[0]) for line in (x, y))
+    else:
+        for line in (x, y):
+            if line not in sets:
+                sets[line] = shingle_set(line, k)
+        a, b = sets[x], sets[y]
+    return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard(a, b) >= threshold
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """``(doc, line_no, key)`` for every line that may be removed."""
+def eligible(line: str, least: int) -> bool:
+    return len(line) >= least and len(line) - line.count(" ") - line.count("\t") - line.count("\r") >= least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, no, key = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, line in enumerate((text or "").split("\n")):
-                    if eligible(line, least):
-                        doc.append(i)
-                        no.append(k)
-                        key.append(int.from_bytes(line_key(line), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(key, pa.int64())], names=["doc", "line_no", "key"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc long, line_no int, key long")
+def exploded(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """``(doc, line_no, line)`` for every line that may be removed."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(id_of(id_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.where(F.length(F.translate("line", " \t\r", "")) >= least)
 
 
-def line_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, least: int, shingle: int) -> DataFrame:
-    """``(key, line, size)``, size being the number of distinct shingles, of the wanted lines ``(key, doc)``: documents travel compressed and are cut by the task that joins them."""
+def key_of(line: Column) -> Column:
+    """128 bits of SHA-256."""
+    return F.substring(F.unhex(F.sha2(line, 256)), 1, 16)
 
-    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dumps(t or "") for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "data"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, lines = [], []
-            for blob, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                want = set(want)
-                for line in loads(blob).split("\n"):
-                    if eligible(line, least):
-                        key = int.from_bytes(line_key(line), "little", signed=True)
-                        if key in want:
-                            want.discard(key)
-                            keys.append(key)
-                            lines.append(line)
-            sizes = [len(np.unique(h)) for h in split_shingles(lines, shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32())], names=["key", "line", "size"])
-            del lines, keys, sizes
-            trim()
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """``(lid, line, doc, line_no, n)``: each different line by its text, with a number of its own, its first occurrence and how many it has.
 
-    blobs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(compressed, "doc long, data binary")
-    per_doc = wanted.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    return blobs.join(per_doc, "doc").select("data", "keys").mapInArrow(cut, "key long, line string, size int").dropDuplicates(["key"])
+    The first occurrence travels as one decimal number, which the hash aggregation can update in place.
+    """
+    wide = "decimal(38,0)"
+    place = F.col("doc").cast(wide) * F.lit(1 << 31).cast(wide) + F.col("line_no").cast(wide)
+    lines = exploded(docs, id_col, text_col, least).select("line", place.cast(wide).alias("at"))
+    lines = lines.groupBy("line").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    doc = F.floor(F.col("at") / F.lit(1 << 31).cast(wide)).cast(wide)
+    out = lines.select(F.monotonically_increasing_id().alias("lid"), "line", doc.cast("long").alias("doc"), (F.col("at") - doc * F.lit(1 << 31).cast(wide)).cast("int").alias("line_no"), "n")
+    return materialise(out, "distinct-lines")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose lines' shingle sets are similar enough."""
+def bands_of(lines: DataFrame, places: Places, shingle: int) -> DataFrame:
+    """Mail of band keys and line numbers, to the buckets of the band keys, about ``STEP`` characters at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            names = list(dict.fromkeys([*a, *b]))
-            sets = {x: np.unique(h) for x, h in zip(names, split_shingles(names, shingle))}
-            good = pa.array([jaccard(sets[x], sets[y]) >= threshold for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
-            del sets, names, a, b
+            every, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            keys = np.concatenate([band_keys(texts[lo:hi], shingle) for lo, hi in stretches(texts, STEP)]).ravel()
+            own = np.repeat(every, BANDS)
+            mail = [*scatter((keys % np.uint64(places.n)).astype(np.int64), (keys, own), places, task)]
+            dest, source, data = zip(*mail)
+            yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(source, pa.int32()), pa.array(data, pa.binary())], names=["dest", "source", "data"])
+            del texts, keys, own, mail, data
             trim()
 
-    left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"))
-    # sets of sizes too far apart cannot be similar enough
-    sizes = texts.select("key", "size")
-    of_a, of_b = (sizes.select(F.col("key").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
-    pairs = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+    return lines.select("lid", "line").mapInArrow(run, MAIL)
+
 
+def meetings(bucket: int, table: pa.Table) -> Iterator[tuple]:
+    """``(band, leader, key)`` rows of the bands that several lines share; the leader is the least."""
+    band, key = columns_of(table)
+    order = np.lexsort((key, band))
+    band, key = band[order], key[order]
+    first = np.append(True, band[1:] != band[:-1])
+    which = np.cumsum(first) - 1
+    many = (np.bincount(which) > 1)[which]
+    leader = key[first][which]
+    yield from zip(band[many].astype(np.int64).tolist(), leader[many].tolist(), key[many].tolist())
 
-def bands_of(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, shingle: int) -> DataFrame:
-    """Blobs ``(bucket, data)`` of band keys and line keys, each line once per task's stretch of rows."""
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs ``(a, b)`` of lines whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines: dict[str, None] = {}
-            for text in batch.column(1).to_pylist():
-                lines.update((x, None) for x in (text or "").split("\n") if eligible(x, least))
-            names = list(lines)
-            own = np.array([int.from_bytes(line_key(x), "little", signed=True) for x in names], np.int64)
-            keys = band_keys(names, shingle)
-            bucket = (keys % np.uint64(n)).astype(np.int64)
-            flat, of = bucket.ravel(), np.repeat(np.arange(len(names)), keys.shape[1])
-            order = np.argsort(flat, kind="stable")
-            edges = np.searchsorted(flat[order], np.arange(n + 1))
-            buckets, blobs = [], []
-            for b in range(n):
-                k = order[edges[b] : edges[b + 1]]
-                if len(k):
-                    buckets.append(b)
-                    blobs.append(dumps((keys.ravel()[k], own[of[k]])))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
-            del lines, names, keys, blobs, order, flat, of
+            sets: dict[str, Collection] = {}
+            size, good = 0, []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                good.append(similar(x, y, sets, threshold, shingle))
+                size += len(x) + len(y)
+                if size > STEP:
+                    sets.clear()
+                    size = 0
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+            del sets, good
             trim()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "bucket int, data binary")
+    left, right = (lines.select(F.col("lid").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def meetings(bucket: int, table: pa.Table) -> Iterator[tuple]:
-    """``(band, key)`` rows of the bands that several lines share."""
-    parts = [loads(x) for x in table.column("data").to_pylist()]
-    band, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    new = np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]))
-    band, key = band[new], key[new]
-    first = np.append(True, band[1:] != band[:-1])
-    size = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
-    yield from zip(band[size > 1].astype(np.int64).tolist(), key[size > 1].tolist())
+def line_roots(lines: DataFrame, n_lines: int, threshold: float, shingle: int) -> DataFrame:
+    """``(id, root)`` of the lines that are similar to another, directly or through others.
+
+    A line shorter than a shingle is similar to its copies only, and those are one line here.
+    """
+    places = Places.of(max(partitions(lines.sparkSession), -(-n_lines * BANDS // BUCKET)))
+    mail = bands_of(lines.where(F.length("line") >= shingle), places, shingle)
+    bands = materialise(exchange(delivered(mail, places), "dest", meetings, "band long, leader long, key long"), "bands")
+    star = bands.where("leader < key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    edges = materialise(verified(star, lines, threshold, shingle), "star")
+    roots = components(edges)
+    # bands whose lines are in several components: compare across components
+    rooted = bands.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "leader", "key", F.coalesce("root", "key").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rooted = rooted.where("key <> leader").join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rooted = materialise(rooted.select("band", "key", "root", "blocks", "block"), "mixed-bands")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rooted.select("band", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("block").alias("i"), other.alias("j"))
+    right = rooted.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("block").alias("j"), other.alias("i"))
+    across = left.join(right, ["band", "i", "j"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
+    more = materialise(verified(across, lines, threshold, shingle), "across")
+    return roots if more.limit(1).isEmpty() else components(edges.union(more))
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, least: int) -> DataFrame:
     """``(doc, line_no)`` of the lines to remove."""
-    every = materialise(occurrences(docs, id_col, text_col, least), "line-keys")
-    firsts = every.groupBy("key").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))
-    firsts = materialise(firsts, "first-lines")
-    n = n_units(docs, text_col)
-    bands = materialise(exchange(bands_of(docs, id_col, text_col, n, least, shingle), "bucket", meetings, "band long, key long"), "bands")
-    wanted = firsts.join(bands.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc").alias("doc"))
-    texts = materialise(line_texts(docs, id_col, text_col, wanted, least, shingle), "lines")
-
-    leaders = bands.groupBy("band").agg(F.min("key").alias("a"))
-    star = bands.join(leaders, "band").where("a < key").select("a", F.col("key").alias("b")).distinct()
-    edges = materialise(verified(star, texts, threshold, shingle), "star")
-    roots = components(edges)
-    # bands whose lines are in several components: compare across components
-    rooted = bands.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("key").alias("leader")).where("lo <> hi").select("band", "leader")
-    rooted = materialise(rooted.join(mixed, "band").where("key <> leader").select("band", "key", "root"), "mixed-bands")
-    other = rooted.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    across = rooted.select("band", F.col("key").alias("a"), F.col("root").alias("root_a")).join(other, "band").where("a < b and root_a <> root_b")
-    more = materialise(verified(across.select("a", "b").distinct(), texts, threshold, shingle), "across")
-    if not more.limit(1).isEmpty():
-        roots = components(edges.union(more))
-
-    per_key = firsts.join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    per_key = materialise(per_key, "line-roots")
-    keepers = per_key.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
-    decided = materialise(per_key.join(keepers, "root").select("key", "n", "keeper"), "line-keepers")
-    found = lookup(every, decided, "key", "n", every.count())
+    lines = distinct_lines(docs, id_col, text_col, least)
+    size = lines.agg(F.count("*"), F.sum("n")).first()
+    roots = line_roots(lines, size[0], threshold, shingle)
+    per_line = lines.select("lid", key_of(F.col("line")).alias("key"), F.struct("doc", "line_no").alias("first"), "n").join(roots.withColumnRenamed("id", "lid"), "lid", "left")
+    per_line = per_line.where("n > 1 or root is not null")
+    per_line = materialise(per_line.select("key", "first", "n", F.coalesce("root", "lid").alias("root")), "line-roots")
+    keepers = per_line.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
+    decided = materialise(per_line.join(keepers, "root").select("key", "n", "keeper"), "line-keepers")
+    every = exploded(docs, id_col, text_col, least).select("doc", "line_no", key_of(F.col("line")).alias("key"))
+    found = lookup(every, decided, "key", "n", size[1] or 0)
     keeper = F.col("keeper")
     return found.where(keeper.isNotNull() & ((keeper["doc"] != F.col("doc")) | (keeper["line_no"] != F.col("line_no")))).select("doc", "line_no")
 
 
 def with_lines_removed(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, least: int) -> DataFrame:
-    """``docs`` with a column ``_gone``, the sorted numbers of its removed lines, null if none."""
+    """``docs`` boxed, with ``_text`` and ``_gone``, the sorted numbers of the removed lines, null if none."""
     gone = removed_lines(docs, id_col, text_col, threshold, shingle, least).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("doc"), "left").drop("doc")
+    return boxed(docs, id_of(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(gone, F.col("_id") == F.col("doc"), "left")
 
 
-def kept_text(text_col: str):
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    return F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n"), F.size(lines)
+def kept_lines() -> tuple[Column, Column]:
+    """The text that is left, and how many lines there were."""
+    lines = F.split("_text", "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept), F.size(lines)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
@@ -263,19 +256,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what newlines separate. One line of each component of similar lines stays: the first by id and
     line number. Lines with fewer than ``least`` characters, blanks and tabs aside, always stay. Null counts as
-    empty. Rows that repeat an id lose the same line numbers. ids are whole numbers. No rows give no rows.
+    empty. Rows that repeat an id lose the same line numbers. ids are whole numbers; a null id is smaller than all
+    others. No rows give no rows.
     """
     out = with_lines_removed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, threshold, shingle, least)
-    kept, n = kept_text(text_col)
-    return out.select(id_col, n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept, n = kept_lines()
+    return out.select(
+        F.col("_row").getField(id_col).alias(id_col), n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256")
+    )
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", threshold: float = THRESHOLD, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with those lines cut out; documents of which nothing but white space is left are dropped. Same columns."""
+    """``docs`` with those lines cut out; documents of which nothing but white space is left are dropped. Same columns, of any names."""
     out = with_lines_removed(docs, id_col, text_col, threshold, shingle, least)
-    kept, _ = kept_text(text_col)
+    kept, _ = kept_lines()
     changed = F.col("_gone").isNotNull()
-    out = out.withColumn(text_col, F.when(changed, kept).otherwise(F.col(text_col))).where(~changed | (F.trim(F.regexp_replace(text_col, r"\s+", "")) != ""))
+    out = out.withColumn("_kept", kept).where(~changed | (F.trim(F.regexp_replace("_kept", r"\s+", "")) != ""))
+    new = {text_col: F.when(changed, F.col("_kept")).otherwise(F.col("_row").getField(text_col))}
     if n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.when(changed, F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
-    return out.select(*docs.columns)
+        new[n_chars_col] = F.when(changed, F.length("_kept").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col("_row").getField(n_chars_col))
+    return unboxed(out, docs.columns, new)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gram_hashes, hit_filter, lookup, materialise, may_hit, partitions, text_of, words_of
+from .common import boxed, components, gram_hashes, hit_filter, lookup, materialise, may_hit, partitions, text_of, unboxed, words_of
 
 #: A multiple of 4, at most 60; with 40 trees of depth 3 each value is in two prefixes.
 N_HASHES = 60
@@ -36,7 +36,7 @@ STEPS = 1000
 #: Rows of one bucket that meet in one task at most; larger buckets are cut into blocks.
 BLOCK = 512
 #: Texts of one block of a component.
-GROUP = 1024
+GROUP = 256
 #: Bitmaps of 4 KB of the filter that picks the texts to verify; a fuller filter only lets more texts through.
 FILTER = 1024
 
@@ -236,4 +236,5 @@ def join_with_links(docs: DataFrame, id_col: str, text_col: str, n: int, thresho
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document, the one with the smallest id, of each class; same columns. Repeated ids stay together."""
     kept = ngram_join(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    rows = boxed(docs, F.col(id_col).alias("_id")).join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return unboxed(rows, docs.columns, {})

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, gram_hashes, text_of, words_of
+from .common import SPACE, boxed, gram_hashes, text_of, unboxed, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A line passes the punctuation rule when a sentence ends in it.
@@ -23,7 +23,6 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10
 MAX_MARKED_PERCENT = 30
-MIN_DISTINCT_PERCENT = 20
 
 
 def line_fails(line: Column) -> Column:
@@ -81,8 +80,8 @@ def verdicts(df: DataFrame) -> tuple[Column, Column]:
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with all measures, ``base_failed`` and ``kept``.
 
-    Null or empty text has no words: measures 0, base_failed true, kept false. Repeated rows are each reported.
-    Repeated trigrams are compared by 64-bit hash within one document.
+    Null or empty text has no words: measures 0, base_failed true, kept false. Repeated rows are each
+    reported, other columns are ignored, no rows give no rows. Repeated trigrams are compared by 64-bit hash within one document.
     """
     docs = docs.select(F.col(id_col).alias("_qid"), F.col(text_col).alias("_qtext"))
     df = measures(docs, "_qtext")
@@ -94,11 +93,16 @@ def quality_filter(docs: DataFrame, text_col: str = "text", n_chars_col: str = "
     """``docs`` without rejected documents and, in those kept, without failed lines; same columns.
 
     A document that loses no line keeps its text unchanged. ``n_chars`` follows the text if there is such a column.
+    Null and empty texts are rejected; repeated rows are each judged; columns may have any names.
     """
-    df = measures(docs, text_col)
+    df = measures(boxed(docs, F.col(text_col).alias("_qtext")), "_qtext")
+    # a generator, lest the filter on the verdict be moved before the measures and computes them once for each use
+    df = df.select("_row", F.explode(F.array(F.struct("_q", "_ql"))).alias("_m")).select("_row", "_m.*")
     _, kept = verdicts(df)
     cleaned = F.array_join(F.transform(F.filter("_ql", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    df = df.where(kept).withColumn(text_col, F.when(F.col("_q.n_failed_lines") > 0, cleaned).otherwise(F.col(text_col)))
+    own, lost = F.col("_row").getField(text_col), F.col("_q.n_failed_lines") > 0
+    df = df.where(kept).withColumn("_new", F.when(lost, cleaned).otherwise(own))
+    new = {text_col: F.col("_new")}
     if n_chars_col in docs.columns:
-        df = df.withColumn(n_chars_col, F.when(F.col("_q.n_failed_lines") > 0, F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
-    return df.select(*docs.columns)
+        new[n_chars_col] = F.when(lost, F.length("_new").cast(docs.schema[n_chars_col].dataType)).otherwise(F.col("_row").getField(n_chars_col))
+    return unboxed(df, docs.columns, new)

@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, id long, key string, n long, digest string, unit int, rank long"
+SCHEMA = "doc_id long, text string, lang string, id long, key string, n long, digest string, unit int, rank long, doc string, line string, _key long, _own string, _gone int, root long"
 
 
 def make(spark, rows):
     """Documents with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, lang, 7, "k", 3, "d", 1, 9) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, 7, "k", 3, "d", 1, 9, "e", "f", 5, "g", 6, 8) for i, t, lang in rows], SCHEMA)
 
 
 def sample_rows(seed=3):
