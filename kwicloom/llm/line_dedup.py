@@ -5,7 +5,8 @@
   bands of ``ROWS`` bins are the keys under which lines meet.
 * Verification: in a band, each line is compared with the leader (the least number); then, where the lines of
   a band are still in several components, with every line of the other components, block by block. That loses no
-  connection that all pairs would give, without forming the pairs inside a component. Similarity is that of the shingle sets, exactly.
+  connection that all pairs would give, without forming the pairs inside a component. Sketches of the shingle
+  sets tell most pairs apart that cannot be similar enough; for the others the sets are compared, exactly.
 * Components are found by union-find in rounds; the occurrence that comes first, by document and line, stays.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ MIN_CHARS = 1
 
 #: Lines of more characters are compared by the hashes of their shingles.
 LONG = 20_000
+#: Cells of a sketch.
+CELLS = 128
 #: Band keys of one bucket, about.
 BUCKET = 1 << 20
 #: Lines of one band that meet in one task at most; larger bands are cut into blocks.
@@ -57,12 +61,10 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     padded = [x if len(x) >= k else x + "\0" * (k - len(x)) for x in lines]
     pad = np.array([*map(len, padded)], np.int64)
     row = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.cumsum(pad) - pad
     hashes = rolling(row, k)
-    n = pad - k + 1
-    of = np.repeat(np.arange(len(lines)), n)
-    at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return mix(hashes[at]) if len(at) else np.zeros(0, np.uint64), of
+    inside = np.ones(len(row), bool)  # places where a shingle lies in one line
+    inside[(np.cumsum(pad)[:, None] - np.arange(1, k)).ravel()] = False
+    return mix(hashes[inside[: len(hashes)]]), np.repeat(np.arange(len(lines)), pad - k + 1)
 
 
 def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
@@ -73,15 +75,14 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     h, of = shingle_hashes(lines, k)
     np.minimum.at(sig.reshape(-1), of * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(bins.bit_length() - 1))
     del h, of
-    empty = sig == np.iinfo(np.uint64).max
-    filled = sig.copy()
-    for shift in range(1, bins):
-        if not empty.any():
-            break
-        other = np.roll(sig, -shift, axis=1)
-        have = empty & (other != np.iinfo(np.uint64).max)
-        filled[have] = mix(other[have] + np.uint64(shift))
-        empty &= ~have
+    some = np.flatnonzero((sig == np.iinfo(np.uint64).max).any(1))
+    part = sig[some]
+    full = np.where(part == np.iinfo(np.uint64).max, 2 * bins, np.arange(bins))
+    upto = np.minimum.accumulate(np.concatenate([full, full + bins], 1)[:, ::-1], 1)[:, ::-1][:, :bins]  # the next full bin, round the end
+    shift = upto - np.arange(bins)
+    from_next = part[np.arange(len(some))[:, None], upto % bins]
+    filled = sig
+    filled[some] = np.where(shift > 0, mix(from_next + shift.astype(np.uint64)), part)
     out = np.empty((len(lines), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(lines), b + 1, np.uint64)
@@ -124,7 +125,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
     """``(doc, line_no, line)`` for every line that may be removed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(id_of(id_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(F.length(F.translate("line", " \t\r", "")) >= least)
+    return lines.where(F.col("line").rlike(r"[^ \t\r]") if least <= 1 else F.length(F.translate("line", " \t\r", "")) >= least)
 
 
 def key_of(line: Column) -> Column:
@@ -176,6 +177,50 @@ def meetings(bucket: int, table: pa.Table) -> Iterator[tuple]:
     yield from zip(band[many].astype(np.int64).tolist(), leader[many].tolist(), key[many].tolist())
 
 
+def sketched(lines: DataFrame, shingle: int) -> DataFrame:
+    """``(lid, line, size, sketch)``: how many different shingles a line has, and how many of them in each of ``CELLS`` cells.
+
+    A cell is one byte; the sketch of a line with more in a cell is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, sketch = [], []
+            texts = batch.column(1).to_pylist()
+            for lo, hi in stretches(texts, STEP):
+                h, of = shingle_hashes(texts[lo:hi], shingle)
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+                h, of = h[new], of[new]
+                size += np.bincount(of, minlength=hi - lo).tolist()
+                cells = np.bincount(of * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=(hi - lo) * CELLS).reshape(-1, CELLS)
+                sketch += [c.astype(np.uint8).tobytes() if m < 256 else None for c, m in zip(cells, cells.max(1).tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(sketch, pa.binary())], names=["lid", "line", "size", "sketch"])
+            trim()
+
+    return lines.select("lid", "line").mapInArrow(run, "lid long, line string, size int, sketch binary")
+
+
+def plausible(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` but for those that cannot reach the threshold: lines have no more in common than the lesser of their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()).astype(np.int64)
+            known = np.flatnonzero(pc.and_(batch.column(4).is_valid(), batch.column(5).is_valid()).to_numpy(zero_copy_only=False))
+            if len(known):
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (4, 5))
+                most[known] = np.minimum(x, y).sum(1)
+            good = pa.array(most >= threshold * (n - most), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    of_a, of_b = (lines.select(F.col("lid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs ``(a, b)`` of lines whose shingle sets are similar enough."""
 
@@ -195,7 +240,7 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int)
             trim()
 
     left, right = (lines.select(F.col("lid").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+    return plausible(pairs, lines, threshold).join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
 def line_roots(lines: DataFrame, n_lines: int, threshold: float, shingle: int) -> DataFrame:
@@ -206,6 +251,7 @@ def line_roots(lines: DataFrame, n_lines: int, threshold: float, shingle: int) -
     places = Places.of(max(partitions(lines.sparkSession), -(-n_lines * BANDS // BUCKET)))
     mail = bands_of(lines.where(F.length("line") >= shingle), places, shingle)
     bands = materialise(exchange(delivered(mail, places), "dest", meetings, "band long, leader long, key long"), "bands")
+    lines = materialise(sketched(lines.join(bands.select(F.col("key").alias("lid")).distinct(), "lid", "left_semi"), shingle), "met-lines")
     star = bands.where("leader < key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     edges = materialise(verified(star, lines, threshold, shingle), "star")
     roots = components(edges)
