@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,6 @@ BANDS = 16
 MIN_CHARS = 1
 
 
-#: Lines of more characters are compared by the hashes of their shingles.
-LONG = 20_000
 #: Cells of a sketch.
 CELLS = 128
 #: Band keys of one bucket, about.
@@ -44,6 +42,10 @@ BUCKET = 1 << 20
 BLOCK = 512
 
 
+#: Characters that are hashed at once: their arrays stay in a core's cache.
+NEAR = 1 << 17
+
+
 def stretches(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of lines of about ``most`` characters."""
     lo = size = 0
@@ -92,29 +94,24 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     return out
 
 
-def jaccard(a: Collection, b: Collection) -> float:
-    """Of two sets, or of two sorted arrays."""
-    common = len(a & b) if isinstance(a, frozenset) else len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
-
-
-def shingle_set(line: str, k: int) -> frozenset[str] | np.ndarray:
-    """The shingles of a line, as hashes where it is long; all lines that are compared have ``k`` characters or more."""
-    if len(line) > LONG:
-        return np.unique(shingle_hashes([line], k)[0])
-    return frozenset([line[i : i + k] for i in range(len(line) - k + 1)])
+def shingle_sets(lines: list[str], k: int) -> Iterator[np.ndarray]:
+    """The sorted different shingle hashes of each line."""
+    for lo, hi in stretches(lines, NEAR):
+        h, of = shingle_hashes(lines[lo:hi], k)
+        edges = np.searchsorted(of, np.arange(hi - lo + 1)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            own = np.sort(h[a:b])
+            yield own[np.append(True, own[1:] != own[:-1])] if b - a > 1 else own
 
 
-def similar(x: str, y: str, sets: dict[str, Collection], threshold: float, k: int) -> bool:
-    """Whether the Jaccard similarity of the shingles of two lines reaches the threshold; ``sets`` are kept for other pairs."""
-    if max(len(x), len(y)) > LONG:
-        a, b = (np.unique(shingle_hashes([line], k)[0]) for line in (x, y))
-    else:
-        for line in (x, y):
-            if line not in sets:
-                sets[line] = shingle_set(line, k)
-        a, b = sets[x], sets[y]
-    return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard(a, b) >= threshold
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int(np.count_nonzero(b[at] == a))
+    return common / (len(a) + len(b) - common)
 
 
 def eligible(line: str, least: int) -> bool:
@@ -154,7 +151,7 @@ def bands_of(lines: DataFrame, places: Places, shingle: int) -> DataFrame:
         task = TaskContext.get().partitionId()
         for batch in batches:
             every, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            keys = np.concatenate([band_keys(texts[lo:hi], shingle) for lo, hi in stretches(texts, STEP)]).ravel()
+            keys = np.concatenate([band_keys(texts[lo:hi], shingle) for lo, hi in stretches(texts, NEAR)]).ravel()
             own = np.repeat(every, BANDS)
             mail = [*scatter((keys % np.uint64(places.n)).astype(np.int64), (keys, own), places, task)]
             dest, source, data = zip(*mail)
@@ -186,16 +183,10 @@ def sketched(lines: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sketch = [], []
-            texts = batch.column(1).to_pylist()
-            for lo, hi in stretches(texts, STEP):
-                h, of = shingle_hashes(texts[lo:hi], shingle)
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
-                h, of = h[new], of[new]
-                size += np.bincount(of, minlength=hi - lo).tolist()
-                cells = np.bincount(of * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=(hi - lo) * CELLS).reshape(-1, CELLS)
-                sketch += [c.astype(np.uint8).tobytes() if m < 256 else None for c, m in zip(cells, cells.max(1).tolist())]
+            for h in shingle_sets(batch.column(1).to_pylist(), shingle):
+                cells = np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                size.append(len(h))
+                sketch.append(cells.astype(np.uint8).tobytes() if cells.max() < 256 else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(sketch, pa.binary())], names=["lid", "line", "size", "sketch"])
             trim()
 
@@ -226,17 +217,23 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[str, Collection] = {}
-            size, good = 0, []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                good.append(similar(x, y, sets, threshold, shingle))
-                size += len(x) + len(y)
-                if size > STEP:
-                    sets.clear()
-                    size = 0
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good, lo = [], 0
+            while lo < len(left):  # about STEP characters of different lines at a time
+                names: dict[str, None] = {}
+                size, hi = 0, lo
+                while hi < len(left) and size < STEP:
+                    for x in (left[hi], right[hi]):
+                        if x not in names:
+                            names[x] = None
+                            size += len(x)
+                    hi += 1
+                sets = dict(zip(names, shingle_sets(list(names), shingle)))
+                good += [jaccard(sets[x], sets[y]) >= threshold for x, y in zip(left[lo:hi], right[lo:hi])]
+                lo = hi
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
-            del sets, good
+            del sets, names, left, right
             trim()
 
     left, right = (lines.select(F.col("lid").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
