@@ -2,7 +2,8 @@
 
 Up to ``ONE_TASK`` rows, one ordered window does. Beyond, rows are cut into ranges of the sort key at bounds
 taken from a sample of it, ranked within their range in parallel, and shifted by the sizes of the ranges
-before; bounds are literals, so a repeated task gives the same ranks. Equal keys never straddle a bound.
+before; bounds are literals, ordered by Spark as the rows are (nulls and collations alike), and found by
+bisection. A repeated task gives the same ranks. Equal keys never straddle a bound.
 """
 
 from __future__ import annotations
@@ -23,13 +24,23 @@ def globally(df: DataFrame, keys: list[Column], name: str, rank: bool = True, on
         return df.withColumn(name, fn().over(Window.orderBy(*keys)).cast("long"))
     n = df.count()
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    sample = sorted(r["k"] for r in df.select(key.alias("k")).sample(min(1.0, SAMPLED / n), seed=5).limit(4 * SAMPLED).collect())
+    sample = df.select(key.alias("k")).sample(min(1.0, SAMPLED / n), seed=5).limit(4 * SAMPLED)
+    sample = [r["k"] for r in sample.coalesce(1).sortWithinPartitions("k").collect()]
     cuts = max(1, min(len(sample), n // RANGE_ROWS))
     bounds = [sample[len(sample) * i // cuts] for i in range(1, cuts)]
-    literal = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds]) if bounds else F.array()
-    ranged = df.withColumn("_range", F.size(F.filter(literal, lambda b: b < key)) if bounds else F.lit(0))
+    kinds = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType.fields]
+    literals = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, kinds))]) for b in bounds]
+    ranged = df.withColumn("_range", bisected(literals, key, 0))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # at most n / RANGE_ROWS rows
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inner = ranged.withColumn(name, fn().over(Window.partitionBy("_range").orderBy(*keys)).cast("long"))
     return inner.join(sizes, "_range").withColumn(name, F.col(name) + F.col("_skip")).drop("_range", "_skip")
+
+
+def bisected(bounds: list[Column], key: Column, skip: int) -> Column:
+    """How many of the ordered ``bounds`` are less than ``key``, by as many comparisons as their logarithm."""
+    if not bounds:
+        return F.lit(skip)
+    half = len(bounds) // 2
+    return F.when(bounds[half] < key, bisected(bounds[half + 1 :], key, skip + half + 1)).otherwise(bisected(bounds[:half], key, skip))

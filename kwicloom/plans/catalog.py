@@ -51,9 +51,8 @@ def corpus(spark: SparkSession, sf_dir: str, sentences: bool = False) -> Corpus:
 
 def conc(spark: SparkSession, sf_dir: str) -> Concordance:
     """Lines of "and" with five tokens to either side."""
-    found = kwic.concordance(corpus(spark, sf_dir), '"and"', 5, 5, span_metadata=False)
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars")
-    found.metadata = found.metadata.select("line_id", "doc_id").join(docs, "doc_id").select("line_id", "lang", "source", "n_chars")
+    found = kwic.concordance(corpus(spark, sf_dir), '"and"', 5, 5, span_metadata=False, metadata=["lang", "source", "n_chars"])
+    found.metadata = found.metadata.select("line_id", "lang", "source", "n_chars")
     return found
 
 
@@ -119,6 +118,40 @@ def span_limited_kwic(spark, sf_dir):
     return longs(kwic.contexts(corpus(spark, sf_dir, True), '"and"', 10, 10, "s").select("doc_id", "m", "lo", "hi"), "m", "lo", "hi")
 
 
+KIND = "CASE WHEN regexp_full_match(word, '[0-9]+') THEN 'NUM' WHEN regexp_full_match(word, '[A-Z].*') THEN 'NAME' WHEN regexp_full_match(word, '.*ing') THEN 'VERB' ELSE '' END"
+
+
+def attributed(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents with two more token attributes, and spans of 40 tokens that are numbered in ``no``."""
+    kind = lambda w: F.when(w.rlike("^[0-9]+$"), "NUM").when(w.rlike("^[A-Z]"), "NAME").when(w.rlike("ing$"), "VERB").otherwise("")
+    c = corpus(spark, sf_dir).with_attribute("pos", kind).with_attribute("lemma", F.lower)
+    blocks = F.when(F.size("toks") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("toks") - 1) / 40).cast("int")), lambda b: F.struct((b * 40).alias("start"), (b * 40 + 39).alias("end"), b.alias("no"))))
+    return c.with_spans("block", F.coalesce(blocks, F.array().cast("array<struct<start:int,end:int,no:int>>")))
+
+
+@query(f"""WITH {TOKENS}, x AS (SELECT doc_id, pos, lower(word) AS lemma, {KIND} AS kind FROM t), y AS (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS k2 FROM x)
+SELECT doc_id, pos AS m FROM y WHERE lemma IN ('the', 'of') AND regexp_full_match(k2, 'NA.*|VERB')""")
+def cqp_pos(spark, sf_dir):
+    return longs(kwic.matches(attributed(spark, sf_dir), '[lemma="the|of"] [pos="NA.*|VERB"]').select("doc_id", "m"), "m")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, pos AS m FROM t WHERE {KIND} <> '' AND NOT regexp_full_match(lower(word), '[0-9]+|the')")
+def cqp_region(spark, sf_dir):
+    return longs(kwic.matches(attributed(spark, sf_dir), '[pos & !(lemma="[0-9]+" | lemma="the")]').select("doc_id", "m"), "m")
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT doc_id, max(pos) AS last FROM t GROUP BY 1) SELECT t.doc_id, t.pos AS m, greatest(t.pos // 40 * 40, t.pos - 10) AS lo, least(t.pos // 40 * 40 + 39, t.pos + 10) AS hi FROM t WHERE word = 'and'")
+def span_limited_any(spark, sf_dir):
+    return longs(kwic.contexts(attributed(spark, sf_dir), '"and"', 10, 10, "block").select("doc_id", "m", "lo", "hi"), "m", "lo", "hi")
+
+
+@query(f"WITH {LINES}, x AS (SELECT *, {KIND} AS kind FROM k) SELECT l.line_id, l.m // 40 AS no, x.i AS id_in_line, lower(x.word) AS lemma, x.kind AS pos FROM lines l JOIN x USING (line_id)")
+def concordance_attributes(spark, sf_dir):
+    c = kwic.concordance(attributed(spark, sf_dir), '"and"', 5, 5, span_metadata=["block"])
+    lines = c.metadata.select("line_id", F.col("`block.no`").alias("no"))
+    return longs(c.tokens.join(lines, "line_id").select("line_id", "no", "id_in_line", "lemma", "pos"), "no", "id_in_line")
+
+
 @query(f"WITH {LINES}, {SENTENCES} SELECT l.line_id, l.doc_id, s.id AS s_id, d.lang FROM lines l JOIN documents d USING (doc_id) LEFT JOIN s ON s.doc_id = l.doc_id AND l.m BETWEEN s.a AND s.b")
 def span_metadata_join(spark, sf_dir):
     c = kwic.concordance(corpus(spark, sf_dir, True), '"and"', 5, 5)
@@ -498,10 +531,10 @@ def cluster_agglomerative(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT a.vec_id, 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS d FROM e a, e b)
-SELECT vec_id AS line_id, count(*) AS n FROM x WHERE d <= 0.5 GROUP BY 1 HAVING n >= 5""")
+SELECT vec_id AS line_id, count(*) AS n FROM x WHERE d <= 0.7 GROUP BY 1 HAVING n >= 5""")
 def dbscan_core_points(spark, sf_dir):
     lines = vectors(spark, sf_dir).metadata.select("line_id", F.col("embedding").cast("array<double>").alias("v"))
-    return cluster.core_points(lines, 0.5, 5)
+    return cluster.core_points(lines, 0.7, 5)
 
 
 @query()
@@ -525,13 +558,10 @@ def turns_by_role_kwic(spark, sf_dir):
     return c.select("role", F.explode(F.array_remove(F.concat(F.split("left_context", " "), F.split("right_context", " ")), "")).alias("word")).groupBy("role", "word").agg(F.count("*").alias("f"))
 
 
-@query(f"""WITH {TOKENS}, {SENTENCES}, b AS (SELECT doc_id, a, b, (SELECT coalesce(sum(n), 0) FROM (SELECT doc_id AS d2, count(*) AS n FROM t GROUP BY 1) WHERE d2 < s.doc_id)::BIGINT AS skip FROM s WHERE doc_id < 200)
-SELECT row_number() OVER (ORDER BY skip + a) - 1 AS id, skip + a AS "start", skip + b AS "end" FROM b""")
+@query(f"""WITH {TOKENS}, {SENTENCES}, n AS (SELECT doc_id, coalesce(sum(count(*)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip FROM t GROUP BY 1)
+SELECT row_number() OVER (ORDER BY skip + a) - 1 AS id, skip + a AS "start", skip + b AS "end" FROM s JOIN n USING (doc_id)""")
 def wmatrix_sentences(spark, sf_dir):
-    """Sentence spans rebuilt from a table of words with marks, as an annotation tool exports it, each document a file.
-
-    The SQL stops at document 199, so its rows are the first of these.
-    """
+    """Sentence spans rebuilt from a table of words with marks, as an annotation tool exports it, each document a file."""
     c = corpus(spark, sf_dir, True)
     marks = c.spans("s").select("doc_id", F.explode(F.array(F.struct((F.col("start") * 3).alias("k"), F.lit("<s>").alias("word")), F.struct((F.col("end") * 3 + 2).alias("k"), F.lit("</s>").alias("word")))).alias("x")).select("doc_id", "x.*")
     rows = c.tokens().select("doc_id", (F.col("pos") * 3 + 1).alias("k"), "word").unionByName(marks)

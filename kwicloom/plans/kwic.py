@@ -8,39 +8,63 @@ from pyspark.sql import functions as F
 from ..concordance import Concordance
 from ..functions.ranking import globally
 from ..sources.text import Corpus
-from .cqp import Part, condition, parse_or_words
+from .cqp import Match, Not, Part, Region, condition, parse_or_words
 
 
-def match_starts(parts: list[Part], toks: Column) -> Column:
+def attributes_of(token: object) -> set[str]:
+    """The token attributes that a predicate reads."""
+    if isinstance(token, (Match, Region)):
+        return {token.attr}
+    if isinstance(token, Not):
+        return attributes_of(token.item)
+    return set().union(*map(attributes_of, getattr(token, "items", ())))
+
+
+def match_starts(parts: list[Part], toks: Column, others: dict[str, Column] | None = None) -> Column:
     """The positions in a token array at which the sequence matches, without a join or shuffle.
 
-    Shifted slices are zipped, so that no lambda refers to the array itself.
+    ``others``: arrays of further attributes, in step with ``toks``. Shifted slices are zipped, so that no lambda
+    refers to an array itself.
     """
     k = len(parts)
+    arrays = {"word": toks} | (others or {})
+    names = sorted(set().union(*[attributes_of(p.token) for p in parts])) or ["word"]
+    unknown = [n for n in names if n not in arrays]
+    if unknown:
+        raise ValueError(f"the corpus has no token attribute {unknown[0]!r}")
     many = F.greatest(F.size(toks) - (k - 1), F.lit(0))
-    shifted = F.arrays_zip(*[F.slice(toks, j + 1, many).alias(f"t{j}") for j in range(k)]) if k > 1 else toks
+    alone = k == 1 and len(names) == 1
+    shifted = arrays[names[0]] if alone else F.arrays_zip(*[F.slice(arrays[n], j + 1, many).alias(f"t{j}_{n}") for j in range(k) for n in names])
 
     def at(x: Column, i: Column) -> Column:
         hit = F.lit(True)
         for j, part in enumerate(parts):
-            word = x[f"t{j}"] if k > 1 else x
-            hit = hit & condition(part.token, lambda name, word=word: one_attribute(name, word))
+            hit = hit & condition(part.token, lambda name, j=j: x if alone else x[f"t{j}_{name}"])
         return F.when(hit, i)
 
     return F.array_compact(F.transform(shifted, at))
 
 
-def one_attribute(name: str, word: Column) -> Column:
-    if name != "word":
-        raise ValueError(f"the corpus has no token attribute {name!r}")
-    return word
+def matched(corpus: Corpus, parts: list[Part], *columns: Column | str) -> DataFrame:
+    """Columns of the documents, exploded to one row per match ``m`` to ``m_end``."""
+    starts = match_starts(parts, F.col("toks"), {n: F.col(n) for n in corpus.attributes})
+    return corpus.docs.select(*columns, F.explode(starts).alias("m")).withColumn("m_end", F.col("m") + len(parts) - 1)
 
 
 def matches(corpus: Corpus, query: str) -> DataFrame:
     """``(doc_id, m, m_end)``: the matches of a query, ends included. Quantifiers, labels and targets are read but not used."""
-    parts = parse_or_words(query)
-    found = corpus.docs.select("doc_id", F.explode(match_starts(parts, F.col("toks"))).alias("m"))
-    return found.withColumn("m_end", F.col("m") + len(parts) - 1)
+    return matched(corpus, parse_or_words(query), "doc_id")
+
+
+def clipped(corpus: Corpus, parts: list[Part], left: int, right: int, limit: str | None, *columns: Column | str) -> DataFrame:
+    """``matched`` with ``lo`` and ``hi``, the context within the document or the span of kind ``limit``; no join, as spans are arrays of their document."""
+    if limit in (None, "file"):
+        found = matched(corpus, parts, *columns, F.size("toks").alias("_n"))
+        return found.withColumn("lo", F.greatest(F.lit(0), F.col("m") - left)).withColumn("hi", F.least(F.col("_n") - 1, F.col("m_end") + right)).drop("_n")
+    found = matched(corpus, parts, *columns, corpus.span_array(limit).alias("_spans"))
+    around = F.filter("_spans", lambda s: (s["start"] <= F.col("m")) & (s["end"] >= F.col("m_end")))
+    found = found.withColumn("_span", F.explode(around))
+    return found.withColumn("lo", F.greatest("_span.start", F.col("m") - left)).withColumn("hi", F.least("_span.end", F.col("m_end") + right)).drop("_spans", "_span")
 
 
 def contexts(corpus: Corpus, query: str, left: int = 100, right: int = 100, limit: str | None = "s") -> DataFrame:
@@ -48,16 +72,7 @@ def contexts(corpus: Corpus, query: str, left: int = 100, right: int = 100, limi
 
     A match that no such span holds is left out.
     """
-    parts = parse_or_words(query)
-    docs = corpus.docs.select("doc_id", F.size("toks").alias("n"), "sents", F.explode(match_starts(parts, F.col("toks"))).alias("m"))
-    docs = docs.withColumn("m_end", F.col("m") + len(parts) - 1)
-    lo, hi = F.lit(0), F.col("n") - 1
-    if limit == "s":
-        found = docs.select("doc_id", "m", "m_end").join(corpus.spans("s"), "doc_id").where("start <= m and end >= m_end")
-        return found.select("doc_id", "m", "m_end", F.greatest("start", F.col("m") - left).alias("lo"), F.least("end", F.col("m_end") + right).alias("hi"))
-    if limit not in (None, "file"):
-        raise ValueError(f"no spans of kind {limit!r}")
-    return docs.select("doc_id", "m", "m_end", F.greatest(lo, F.col("m") - left).alias("lo"), F.least(hi, F.col("m_end") + right).alias("hi"))
+    return clipped(corpus, parse_or_words(query), left, right, limit, "doc_id")
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -66,14 +81,8 @@ def numbered(found: DataFrame) -> DataFrame:
 
 
 def kwic(corpus: Corpus, query: str, left: int = 20, right: int = 20, limit: str | None = None) -> DataFrame:
-    """One row per match: ``doc_id, m, left_context, node, right_context`` and the metadata. One scan, no shuffle unless ``limit`` is given."""
-    parts = parse_or_words(query)
-    if limit not in (None, "file"):
-        found = contexts(corpus, query, left, right, limit)
-        rows = corpus.docs.join(found, "doc_id")
-    else:
-        rows = corpus.docs.select("*", F.explode(match_starts(parts, F.col("toks"))).alias("m")).withColumn("m_end", F.col("m") + len(parts) - 1)
-        rows = rows.withColumn("lo", F.greatest(F.lit(0), F.col("m") - left)).withColumn("hi", F.least(F.size("toks") - 1, F.col("m_end") + right))
+    """One row per match: ``doc_id, m, left_context, node, right_context`` and the metadata. One scan, no shuffle."""
+    rows = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", "toks", *corpus.metadata)
     piece = lambda a, b: F.array_join(F.slice("toks", a + 1, F.greatest(b - a + 1, F.lit(0))), " ")
     c = F.col
     return rows.select("doc_id", "m", piece(c("lo"), c("m") - 1).alias("left_context"), piece(c("m"), c("m_end")).alias("node"), piece(c("m_end") + 1, c("hi")).alias("right_context"), *corpus.metadata)
@@ -83,25 +92,40 @@ def collocates(corpus: Corpus, query: str, left: int = 5, right: int = 5) -> Dat
     """``(word, f)``: how often each word stands in the windows of the matches, the node left out."""
     parts = parse_or_words(query)
     k = len(parts)
-    rows = corpus.docs.select("toks", F.explode(match_starts(parts, F.col("toks"))).alias("m"))
+    rows = matched(corpus, parts, "toks")
     before = F.slice("toks", F.greatest(F.col("m") - left, F.lit(0)) + 1, F.least(F.col("m"), F.lit(left)))
     after = F.slice("toks", F.col("m") + k + 1, F.lit(right))
     return rows.select(F.explode(F.concat(before, after)).alias("word")).groupBy("word").agg(F.count("*").alias("f"))
 
 
-def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, limit: str | None = None, span_metadata: bool = True) -> Concordance:
-    """The concordance of a query: lines, their tokens and matches as DataFrames."""
-    lines = numbered(contexts(corpus, query, left, right, limit)).withColumn("m_len", F.col("m_end") - F.col("m"))
-    sliced = corpus.docs.select("doc_id", "toks").join(lines, "doc_id")
-    words = sliced.select("line_id", "m", "m_end", "lo", F.posexplode(F.slice("toks", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("id_in_line", "word"))
+def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, limit: str | None = None, span_metadata: bool | list[str] = True, metadata: list[str] | None = None, keep: bool = True) -> Concordance:
+    """The concordance of a query: lines, their tokens and matches as DataFrames.
+
+    One scan: contexts are sliced where the match is found, and spans and metadata are taken from the same row.
+    ``span_metadata``: whether, or for which kinds of spans, lines get the columns of the span that holds the match,
+    as ``kind.column``; ``metadata``: documents' columns that lines get under their own names. ``keep``: lines are
+    stored (in memory, or on disk beyond it), as numbering and every view read them; they are as many as matches.
+    """
+    kinds = [k for k in corpus.span_kinds if k != "file"] if span_metadata is True else [k for k in span_metadata or [] if k != "file"]
+    file_columns = corpus.metadata if span_metadata is True or "file" in (span_metadata or []) else []
+    named = [F.col(c).alias(f"file.{c}") for c in file_columns] + [F.col(c) for c in metadata or []]
+    arrays = [("word", F.col("toks")), *[(n, F.col(n)) for n in corpus.attributes]]
+    rows = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", *[c.alias(f"_a{i}") for i, (_, c) in enumerate(arrays)], *[corpus.span_array(k).alias(f"_s{i}") for i, k in enumerate(kinds)], *named)
+    size = F.col("hi") - F.col("lo") + 1
+    context = F.arrays_zip(*[F.slice(f"_a{i}", F.col("lo") + 1, size).alias(name) for i, (name, _) in enumerate(arrays)])
+    own = [F.get(F.filter(f"_s{i}", lambda s: (s["start"] <= F.col("m")) & (s["end"] >= F.col("m"))), F.lit(0)).alias(f"_s{i}") for i, _ in enumerate(kinds)]
+    names = [f"`file.{c}`" for c in file_columns] + list(metadata or [])
+    found = rows.select("doc_id", "m", "m_end", "lo", "hi", context.alias("_words"), *own, *names)
+    lines = numbered(found.persist() if keep else found)
+    if keep:
+        lines = lines.persist()
+    words = lines.select("line_id", "m", "m_end", "lo", F.posexplode("_words").alias("id_in_line", "_w"))
     cpos = F.col("lo") + F.col("id_in_line")
     offset = F.when(cpos < F.col("m"), cpos - F.col("m")).when(cpos > F.col("m_end"), cpos - F.col("m_end")).otherwise(0)
-    tokens = words.select("line_id", "id_in_line", offset.cast("int").alias("offset"), "word", cpos.alias("cpos"))
-    matched = lines.select("line_id", (F.col("m") - F.col("lo")).cast("long").alias("match_start"), (F.col("m_end") - F.col("lo")).cast("long").alias("match_end"), F.lit(0).alias("slot"))
-    meta = lines.select("line_id", "doc_id", F.col("m").alias("original_match_start"), F.col("m_end").alias("original_match_end"), F.col("lo").alias("original_context_start"), F.col("hi").alias("original_context_end"))
-    if span_metadata:
-        meta = meta.join(corpus.docs.select("doc_id", *[F.col(c).alias(f"file.{c}") for c in corpus.metadata]), "doc_id", "left")
-        inner = corpus.spans("s").select("doc_id", F.col("id").alias("s.id"), "start", "end")
-        at = (F.col("original_match_start") >= F.col("start")) & (F.col("original_match_start") <= F.col("end"))
-        meta = meta.join(inner, (meta["doc_id"] == inner["doc_id"]) & at, "left").drop(inner["doc_id"]).drop("start", "end")
-    return Concordance(meta, tokens, matched, info={"query": query})
+    tokens = words.select("line_id", "id_in_line", offset.cast("int").alias("offset"), *[F.col("_w")[n].alias(n) for n, _ in arrays], cpos.alias("cpos"))
+    match_rows = lines.select("line_id", (F.col("m") - F.col("lo")).cast("long").alias("match_start"), (F.col("m_end") - F.col("lo")).cast("long").alias("match_end"), F.lit(0).alias("slot"))
+    spans = [F.col(f"_s{i}")[c].alias(f"{k}.{c}") for i, k in enumerate(kinds) for c in corpus.span_columns(k)]
+    meta = lines.select(
+        "line_id", "doc_id", F.col("m").alias("original_match_start"), F.col("m_end").alias("original_match_end"), F.col("lo").alias("original_context_start"), F.col("hi").alias("original_context_end"), *names, *spans
+    )
+    return Concordance(meta, tokens, match_rows, info={"query": query})

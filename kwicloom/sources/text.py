@@ -6,10 +6,13 @@ shuffle. The relational form (one row per token) is a view of it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Words with inner hyphens, or single other characters.
 TOKEN = r"[\p{L}\p{N}_']+(?:-[\p{L}\p{N}_'’]+)*|[^\p{L}\p{N}_\s-]"
@@ -29,29 +32,81 @@ def sentences_of(text: Column) -> Column:
 
 @dataclass
 class Corpus:
-    """``docs``: doc_id, ``toks`` (an array of words, over the sentences in order), ``sents`` (sentence sizes in tokens) and metadata columns."""
+    """``docs``: doc_id, ``toks`` (an array of words, over the sentences in order), ``sents`` (sentence sizes in tokens) and metadata columns.
+
+    ``attributes``: further columns, arrays in step with ``toks`` (lemma, pos, tag, ...). ``own_spans``: kinds of
+    spans beside sentences and files, each a column of arrays of structs with ``start``, ``end`` and any others.
+    """
 
     docs: DataFrame
     metadata: list[str]
+    attributes: list[str] = field(default_factory=list)
+    own_spans: list[str] = field(default_factory=list)
+
+    @property
+    def span_kinds(self) -> list[str]:
+        return ["s", "file", *self.own_spans]
+
+    def with_attribute(self, name: str, value: Callable[[Column], Column]) -> Corpus:
+        """A token attribute that is a function of the word."""
+        return replace(self, docs=self.docs.withColumn(name, F.transform("toks", value)), attributes=[*self.attributes, name])
+
+    def tagged(self, tagger: Callable[[list[str]], list[dict[str, str]]], *names: str) -> Corpus:
+        """Token attributes that a tagger gives the words of each document, all its words at once."""
+        others = self.docs.columns
+        schema = StructType([*self.docs.schema.fields, *[StructField(n, ArrayType(StringType())) for n in names]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [tagger(words or []) for words in batch.column("toks").to_pylist()]
+                new = [pa.array([[t.get(n) for t in row] for row in rows], pa.list_(pa.string())) for n in names]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*others, *names])
+
+        return replace(self, docs=self.docs.mapInArrow(run, schema), attributes=[*self.attributes, *names])
+
+    def with_spans(self, kind: str, spans: Column) -> Corpus:
+        """Spans of another kind: an array of structs with ``start`` and ``end`` (inclusive, in tokens) and further columns."""
+        return replace(self, docs=self.docs.withColumn(kind, spans), own_spans=[*self.own_spans, kind])
+
+    def span_array(self, kind: str) -> Column:
+        """The spans of a kind as a column of ``docs``."""
+        if kind == "file":
+            return F.when(F.size("toks") > 0, F.array(F.named_struct(F.lit("id"), F.lit(0), F.lit("start"), F.lit(0), F.lit("end"), F.size("toks") - 1))).otherwise(F.array().cast("array<struct<id:int,start:int,end:int>>"))
+        if kind in self.own_spans:
+            return F.col(kind)
+        if kind != "s":
+            raise ValueError(f"no spans of kind {kind!r}")
+        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))
+        return F.aggregate(
+            F.filter("sents", lambda n: n > 0),
+            F.array().cast("array<struct<id:int,start:int,end:int>>"),
+            lambda acc, n: F.concat(acc, F.array(F.named_struct(F.lit("id"), F.size(acc), F.lit("start"), last(acc) + 1, F.lit("end"), (last(acc) + n).cast("int")))),
+        )
+
+    def span_columns(self, kind: str) -> list[str]:
+        """What a line takes from its span: the number of a sentence, all columns but the ends of other spans."""
+        if kind == "s":
+            return ["id"]
+        return [c for c in self.docs.schema[kind].dataType.elementType.names if c not in ("start", "end")]
 
     def tokens(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        """``(doc_id, pos, word)``, positions from 0; the range is within each document, both ends included."""
-        out = self.docs.select("doc_id", F.posexplode("toks").alias("pos", "word"))
+        """``(doc_id, pos, word)`` and the other attributes, positions from 0; the range is within each document, both ends included."""
+        if self.attributes:
+            zipped = F.arrays_zip(F.col("toks").alias("word"), *self.attributes)
+            out = self.docs.select("doc_id", F.posexplode(zipped).alias("pos", "_t")).select("doc_id", F.col("pos"), "_t.*")
+        else:
+            out = self.docs.select("doc_id", F.posexplode("toks").alias("pos", "word"))
         if first is not None:
             out = out.where(F.col("pos") >= first)
         return out if last is None else out.where(F.col("pos") <= last)
 
     def spans(self, kind: str = "s") -> DataFrame:
-        """``(doc_id, id, start, end)`` with inclusive ends: sentences (``s``) or whole documents (``file``)."""
+        """``(doc_id, id, start, end)`` with inclusive ends: sentences (``s``), whole documents (``file``) or spans of a further kind, with their columns."""
         if kind == "file":
             return self.docs.where(F.size("toks") > 0).select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("start"), (F.size("toks") - 1).alias("end"), *self.metadata)
-        sizes = F.filter("sents", lambda n: n > 0)
-        running = F.aggregate(
-            sizes,
-            F.array().cast("array<struct<start:int,end:int>>"),
-            lambda acc, n: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) + 1).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) + n).cast("int").alias("end")))),
-        )
-        return self.docs.select("doc_id", F.posexplode(running).alias("id", "span")).select("doc_id", "id", "span.start", "span.end")
+        if kind in self.own_spans:
+            return self.docs.select("doc_id", F.explode(kind).alias("_span")).select("doc_id", "_span.*")
+        return self.docs.select("doc_id", F.explode(self.span_array(kind)).alias("_span")).select("doc_id", "_span.id", "_span.start", "_span.end")
 
     def spans_covering(self, kind: str, doc_id: int, pos: int) -> DataFrame:
         return self.spans(kind).where((F.col("doc_id") == doc_id) & (F.col("start") <= pos) & (F.col("end") >= pos))

@@ -221,3 +221,30 @@ def test_wmatrix_sentences_of_all_documents(spark, tmp_path):
         skip += ends[1] + 1
     got = catalog.wmatrix_sentences(spark, str(tmp_path)).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(k, a, b) for k, (a, b) in enumerate(expected)]
+
+
+def test_further_attributes_and_spans(spark):
+    corpus = text.from_documents(spark.createDataFrame([(0, "Cats saw 3 dogs. The cats ran."), (1, "dogs"), (2, None)], "doc_id long, text string"))
+    tagger = lambda words: [{"pos": "N" if w.lower().rstrip("s") in ("cat", "dog") else "X", "n": "1" if w.isdigit() else ""} for w in words]
+    corpus = corpus.tagged(tagger, "pos", "n").with_attribute("lemma", lambda w: F.lower(F.rtrim(w)))
+    found = lambda q: sorted((r["doc_id"], r["m"]) for r in kwic.matches(corpus, q).collect())
+    assert found('[pos="N"]') == [(0, 0), (0, 3), (0, 6), (1, 0)]
+    assert found('[lemma="cats"] [pos!="N"]') == [(0, 0), (0, 6)]
+    assert found("[n]") == [(0, 2)] and found("[!n & lemma=\"dogs\"]") == [(0, 3), (1, 0)]
+    with pytest.raises(ValueError):
+        kwic.matches(corpus, '[tag="x"]')
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("toks") / 2).cast("int")), lambda b: F.struct((b * 2).alias("start"), (b * 2 + 1).alias("end"), F.concat(F.lit("p"), b).alias("name")))
+    corpus = corpus.with_spans("pair", pairs)
+    assert corpus.span_kinds == ["s", "file", "pair"] and corpus.spans("pair").columns == ["doc_id", "start", "end", "name"]
+    c = kwic.concordance(corpus, '[pos="N"]', 5, 5, "pair")
+    assert [r["pair.name"] for r in c.metadata.orderBy("line_id").collect()] == ["p0", "p1", "p3", "p0"]
+    assert [(r["word"], r["pos"], r["offset"]) for r in c.tokens.where("line_id = 1").orderBy("id_in_line").collect()] == [("3", "X", -1), ("dogs", "N", 0)]
+
+
+@pytest.mark.parametrize("one_task", [2, 1000])
+def test_ranks_of_nulls_and_ties(spark, one_task, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 2)
+    values = [3, None, 1, 3, None, 2, 3, 9, 1]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    got = sorted((r["v"] is not None, r["v"] or 0, r["r"]) for r in ranking.globally(df, [F.col("v")], "r", one_task=one_task).collect())
+    assert [r for *_, r in got] == [1, 1, 3, 3, 5, 6, 6, 6, 9]
