@@ -211,7 +211,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the one of its class that stays, the one with the smallest id.
 
     Null text counts as empty; empty texts are copies of each other and are linked to nothing else. Texts of
-    fewer than n words are one gram. Repeated ids are each reported. No rows give no rows.
+    fewer than n words are one gram. Repeated ids are each reported. A row with a null id is linked by its exact
+    words only. No rows give no rows.
     """
     out, _ = join_with_links(docs, id_col, text_col, n, threshold, target_recall)
     return out
@@ -229,7 +230,7 @@ def join_with_links(docs: DataFrame, id_col: str, text_col: str, n: int, thresho
     per_class = materialise(per_class.select("digest", "rep", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "per-class")
     out = lookup(members, per_class, "digest", "n", members.count())
     return out.select(
-        F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), F.col("n").alias("n_copies"), "n_links", (F.col("id") == F.col("class_id")).alias("kept")
+        F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), F.col("n").alias("n_copies"), "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     ), links
 
 

@@ -48,6 +48,17 @@ def test_exact_repeated_rows_and_nothing(spark, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_merge_index(spark):
+    batch = lambda *rows: spark.createDataFrame([(bytes([d]), k) for d, k in rows], "digest binary, key long")
+    index = exact_dedup.MergeIndex()
+    hit = lambda *rows: sorted(bytes(r["digest"])[0] for r in index.add(batch(*rows)).collect())
+    assert hit((1, 5), (2, 6), (2, 7)) == [2] and [r.tier for r in index.runs] == [0]
+    assert hit((1, 3), (3, 8)) == [1] and [r.tier for r in index.runs] == [1]
+    assert hit((3, 1), (4, 9)) == [3] and [r.tier for r in index.runs] == [1, 0]
+    assert hit() == [] and [r.tier for r in index.runs] == [2]
+    assert sorted((bytes(r["digest"])[0], r["key"], r["n"]) for r in index.level().collect()) == [(1, 3, 2), (2, 6, 2), (3, 1, 2), (4, 9, 1)]
+
+
 def removed_by_lines(rows, k=line_dedup.SHINGLE, t=line_dedup.THRESHOLD, least=line_dedup.MIN_CHARS):
     occ = [(i, n, line) for i, text, _ in rows for n, line in enumerate((text or "").split("\n")) if line_dedup.eligible(line, least)]
     names = list(dict.fromkeys(line for *_, line in occ))

@@ -93,18 +93,25 @@ def test_scores(spark, docs, rows, nothing):
         assert got[i]["n_bytes"] == len((text or "").encode())
         if not text:
             assert got[i]["score"] == 0
-    counts = Counter(w for _, t, _ in rows for w in (t or "").split())
-    best = sorted((w for w in counts if counts[w] > 1 and 4 <= len(w.encode()) <= 255), key=lambda w: (-counts[w] * (len(w.encode()) - 3), w))
-    out, left = [], 2000
-    for w in best[:400]:
-        if len(w.encode()) + 1 > left:
-            break
-        out.append(w.encode() + b" ")
-        left -= len(out[-1])
-    raw = b"".join(reversed(out))
-    c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    i, text, _ = rows[1]
-    assert got[i]["general_bytes"] == len(c.compress(text.encode()))
+
+    def size(raw, within):
+        counts = Counter(w for t in within for w in (t or "").split())
+        best = sorted((w for w in counts if counts[w] > 1 and 4 <= len(w.encode())), key=lambda w: (-counts[w] * (len(w.encode()) - 3), w))
+        out, left = [], 2000
+        for w in best[:400]:
+            if len(w.encode()) + 1 > left:
+                break
+            out.append(w.encode() + b" ")
+            left -= len(out[-1])
+        data = b"".join(reversed(out))
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        return len(c.compress(raw)) if raw else 0
+
+    for i, text, _ in rows:
+        raw = (text or "").encode()
+        a, b = size(raw, [t for _, t, _ in rows]), size(raw, [t for _, t, lang in rows if lang == "en"])
+        assert (got[i]["general_bytes"], got[i]["domain_bytes"]) == (a, b), i
+        assert got[i]["score"] == (8 * (a - b) / len(raw) if raw else 0)
     assert lm_score.compression_scores(nothing, own).count() == 0
     assert lm_score.compression_scores(docs, own.limit(0)).count() == len(rows)
 
