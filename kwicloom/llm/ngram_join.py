@@ -9,6 +9,9 @@
   these very prefixes, not of as many independent ones. Depth starts at the longest prefix that gives a pair
   at the threshold the target recall, so no similarity above it has less; from a longer start it is shortened
   until, in each band of similarity, found / sum(1/p(J)) over the verified pairs reaches the target.
+* The crowd: buckets of more than ``BLOCK`` texts, whose pairs would grow as their square, form none. Links among
+  their texts are found exactly instead: within a dense group (texts near a leader) all pairs are compared by bitmaps
+  of the group's shingles, counted and not written; the others meet by their rarest shingles.
 * Verification: pairs with too few equal hash values go; for the others, the shingle arrays of texts that hang
   together meet in one task, block by block, and are compared exactly.
 """
@@ -20,7 +23,7 @@ import random
 from functools import cache, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import boxed, components, gram_hashes, hit_filter, lookup, materialise, may_hit, partitions, text_of, unboxed, words_of
@@ -33,10 +36,14 @@ MIN_DEPTH = 2
 #: Bands of similarity of the estimated recall, and steps of the table of chances.
 RECALL_BANDS = 20
 STEPS = 1000
-#: Rows of one bucket that meet in one task at most; larger buckets are cut into blocks.
-BLOCK = 512
+#: Rows of the largest bucket whose pairs are formed as such; texts of larger ones are the crowd. A dense group has more texts than this.
+BLOCK = 64
 #: Texts of one block of a component.
 GROUP = 256
+#: Texts of one block of a dense group, and words of 64 bits of their bitmaps, so many at a time.
+SQUARE = 1024
+WORDS = 32
+STRIDE = 8
 #: Bitmaps of 4 KB of the filter that picks the texts to verify; a fuller filter only lets more texts through.
 FILTER = 1024
 
@@ -112,32 +119,130 @@ def least_matches(threshold: float) -> int:
         k += 1
 
 
-def candidates(sigs: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
-    """Pairs ``a < b`` that share a prefix of ``depth`` in some tree and whose sizes and signatures allow the threshold.
-
-    Each pair comes from the first tree that it shares, so it is formed once. A bucket of n rows is cut into
-    ceil(n / BLOCK) blocks; each pair of blocks is a task key of its own.
-    """
-    orders = [order[:depth] for order in forest_orders(trees)]
-    prefix = F.array(*[F.xxhash64(F.lit(t), *[value(k) for k in order]) for t, order in enumerate(orders)])
+def prefixes(sigs: DataFrame, depth: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(id, tree, key)``, the prefix of each text in each tree, and ``buckets(key, n, first, last)``: those that several texts share, with two of them, the leaders."""
+    prefix = F.array(*[F.xxhash64(F.lit(t), *[value(k) for k in order[:depth]]) for t, order in enumerate(forest_orders(trees))])
     rows = materialise(sigs.select("id", F.posexplode(prefix).alias("tree", "key")), "prefixes")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared, "key").join(sigs, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return rows, materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("n > 1"), "buckets")
+
+
+def compared(met: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``mask``, whose bits are the equal values of the signatures in ``a_p0, ...`` and ``b_p0, ...``."""
     packs = [f"p{j}" for j in range(N_HASHES // 4)]
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("key", "tree", *[F.col(c).alias(f"a_{c}") for c in ("id", "size", *packs)], F.col("block").alias("i"), other.alias("j"))
-    right = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "size", *packs)], F.col("block").alias("j"), other.alias("i"))
-    near = (F.col("a_id") < F.col("b_id")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold)
-    met = left.join(right, ["key", "i", "j"]).where(near)
-    met = met.select("tree", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")).alias(c) for c in packs])
+    met = met.select(*keep, *[F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")).alias(c) for c in packs])
     mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(value(k) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(N_HASHES)])
-    met = met.select("tree", "a", "b", F.explode(F.array(mask)).alias("mask"))  # a generator, lest the long expression be copied into each use
-    of_tree = [sum(1 << k for k in order) for order in orders]
+    return met.select(*keep, F.explode(F.array(mask)).alias("mask"))  # a generator, lest the long expression be copied into each use
+
+
+def sides(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, with ``a_`` and ``b_`` before the names of all columns but ``keys``."""
+    a, b = (rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c not in keys]) for x in "ab")
+    return a, b
+
+
+def sizes_allow(threshold: float) -> Column:
+    return F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold
+
+
+def share_enough(common: Column, threshold: float) -> Column:
+    """Whether sets of ``a_size`` and ``b_size`` that share so many reach the threshold."""
+    return common * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold - 1e-9
+
+
+def candidates(sigs: DataFrame, rows: DataFrame, buckets: DataFrame, crowd: DataFrame | None, depth: int, trees: int, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` that meet in a bucket of at most ``BLOCK`` rows and whose sizes and signatures allow the threshold.
+
+    Each pair comes from the first tree that it shares, so it is formed once; those within the crowd are left out.
+    """
+    rows = rows.join(buckets.where(F.col("n") <= BLOCK).select("key"), "key").join(sigs, "id")
+    rows = rows.withColumn("crowd", F.lit(False)) if crowd is None else rows.join(crowd.withColumn("crowd", F.lit(True)), "id", "left").fillna(False, ["crowd"])
+    left, right = sides(rows, "key", "tree")
+    met = left.join(right, ["key", "tree"]).where((F.col("a_id") < F.col("b_id")) & ~(F.col("a_crowd") & F.col("b_crowd")) & sizes_allow(threshold))
+    met = compared(met.withColumnsRenamed({"a_id": "a", "b_id": "b"}), "tree", "a", "b")
+    of_tree = [sum(1 << k for k in order[:depth]) for order in forest_orders(trees)]
     first = F.coalesce(*[F.when(F.col("mask").bitwiseAND(m) == m, t) for t, m in enumerate(of_tree)])
     return met.where((F.bit_count("mask") >= least_matches(threshold)) & (first == F.col("tree"))).select("a", "b")
 
 
+def crowd_texts(crowded: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``(id, label, m, size, grams)`` of the texts in ``crowded(id, leader)``, the rows of buckets of more than ``BLOCK``.
+
+    Texts whose signatures say that they are near a leader of a bucket get its label, also through others. Those of
+    a label that has ``m > BLOCK`` texts are a dense group; the others get labels of their own, and no ``m``.
+    """
+    a, b = sides(sigs)
+    stars = crowded.where("id <> leader").select(F.col("id").alias("a_id"), F.col("leader").alias("b_id")).distinct().join(a, "a_id").join(b, "b_id").where(sizes_allow(threshold))
+    stars = compared(stars.withColumnsRenamed({"a_id": "a", "b_id": "b"}), "a", "b").where(F.bit_count("mask") >= math.floor(threshold * N_HASHES)).select("a", "b")
+    roots = components(stars)
+    dense = roots.join(roots.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "root")
+    crowd = crowded.select("id").distinct()
+    labels = crowd.join(dense, "id", "left").select("id", F.coalesce("root", "id").alias("label"), "m")
+    rows = may_hit(docs, hit_filter(crowd, "id", FILTER), "id", FILTER).select("id", shingles(F.col("w"), n).alias("grams"))
+    rows = rows.join(labels, "id").groupBy("id", "label", "m").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    return materialise(rows.select("id", "label", "m", F.size("grams").alias("size"), "grams"), "crowd")
+
+
+def crowd_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` of the crowd, not of one dense group, that can reach the threshold: by prefix filtering, so none is missed.
+
+    Two sets of that similarity share one of the rarest size - ceil(threshold * size) + 1 shingles of each, and from the
+    rarest that they share on, either has as many left as they must share. Lines that many texts have come last, so
+    texts that have little else in common don't meet. Where one label has most of a shingle's texts, only the others
+    look for partners.
+    """
+    grams = texts.select("id", F.explode("grams").alias("g"))
+    counted = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("grams"))
+    length = (F.size("grams") - F.ceil(F.size("grams") * threshold - 1e-6) + 1).cast("int")
+    rare = counted.select("id", F.size("grams").alias("size"), F.posexplode(F.slice("grams", F.lit(1), length)).alias("at", "x")).where("x.n > 1").select("id", "x.g", (F.col("size") - F.col("at")).alias("left"))
+    rare = materialise(rare.join(texts.select("id", "label", "size"), "id"), "rare-shingles")
+    homes = rare.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count("*").alias("labels"))
+    left, right = sides(rare.join(homes.where("labels > 1").drop("labels"), "g"), "g", "home")
+    met = left.where("a_label <> home").join(right, ["g", "home"]).where("a_label <> b_label AND (b_label = home OR a_id < b_id)").where(sizes_allow(threshold) & share_enough(F.least("a_left", "b_left"), threshold))
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """``(id, label, m, size, b0, b1, ..., rest)`` of the dense groups' texts: which of the group's shingles each has.
+
+    Only shingles that several texts of the group have are numbered, the most frequent first; those that have no
+    place in the ``WORDS`` words of 64 bits are in the array ``rest``.
+    """
+    grams = texts.where("m IS NOT NULL").select("id", "label", "m", "size", F.explode("grams").alias("g"))
+    places = grams.groupBy("label", "g").agg(F.count("*").alias("n")).where("n > 1")
+    places = places.select("label", "g", (F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "g")) - 1).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("at") / 64) == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)]
+    rest = F.collect_list(F.when(F.col("at") >= 64 * WORDS, F.col("at"))).alias("rest")
+    return materialise(grams.join(places, ["label", "g"]).groupBy("id", "label", "m", "size").agg(*words, rest), "bitmaps")
+
+
+def dense_pairs(maps: DataFrame, threshold: float, where: str = "true") -> DataFrame:
+    """``(a, b, jaccard)`` of all pairs of texts of a dense group that reach the threshold and meet ``where``; never written.
+
+    A group is cut into blocks of ``SQUARE`` texts; each pair of blocks is a task key of its own.
+    """
+    blocks = F.ceil(F.col("m") / SQUARE).cast("int")
+    maps = maps.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("m")
+    maps = maps.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    left, right = sides(maps, "label", "i", "j")
+    met = left.where("a_block = i").join(right.where("b_block = j"), ["label", "i", "j"])
+    met = met.where("i < j OR a_id < b_id").where(where).where(sizes_allow(threshold)).withColumn("bits", F.lit(0))
+    for k in range(0, WORDS, STRIDE):  # by generators, as in compared(), few words in each: compiled code of all at once runs much slower
+        bits = [F.bit_count(F.col(f"a_b{x}").bitwiseAND(F.col(f"b_b{x}"))) for x in range(k, min(k + STRIDE, WORDS))]
+        met = met.withColumn("bits", F.explode(F.array(reduce(lambda x, y: x + y, bits, F.col("bits")))))
+    more = F.when((F.size("a_rest") == 0) | (F.size("b_rest") == 0), 0).otherwise(F.size(F.array_intersect("a_rest", "b_rest")))
+    at_most = F.col("bits") + F.least(F.size("a_rest"), F.size("b_rest"))
+    met = met.where(share_enough(F.col("bits"), threshold) | (share_enough(at_most, threshold) & share_enough(F.col("bits") + more, threshold)))
+    common = F.col("bits") + more
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), (common / (F.col("a_size") + F.col("b_size") - common)).alias("jaccard"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """``(id, other)`` of ``pairs(a, b)``, both ways round."""
+    both = F.array(*[F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x, y in ("ab", "ba")])
+    return pairs.select(F.inline(both))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """``pairs(a, b, jaccard)`` with exact similarity of at least the threshold; ``docs(id, w)`` has the words.
 
@@ -179,27 +284,58 @@ def first_depth(threshold: float, target_recall: float, trees: int) -> int:
 
 
 def recall_reached(found: DataFrame, depth: int, trees: int, target_recall: float) -> bool:
-    """Whether the estimated recall reaches the target in every band of similarity that has pairs."""
+    """Whether the estimated recall reaches the target in every band of similarity that has pairs; those of the crowd, which can't be missed, count like others."""
     band = F.floor(F.col("jaccard") * RECALL_BANDS).alias("band")
     rates = found.groupBy(band).agg((F.count("*") / F.sum(1 / met_chance(F.col("jaccard"), depth, trees))).alias("rate"))
     return rates.where(F.col("rate") < target_recall).isEmpty()
 
 
-def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, target_recall: float = 0.98, trees: int = TREES, start: int | None = None) -> DataFrame:
-    """``(a, b, jaccard)`` between the texts ``docs(id, w)`` whose id is in ``reps(id)``, by the forest, from depth ``start``."""
+def linked(docs: DataFrame, reps: DataFrame, n: int, threshold: float, target_recall: float = 0.98, trees: int = TREES, start: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``links(a, b, jaccard)`` between the texts ``docs(id, w)`` whose id is in ``reps(id)``, but for those within a dense group, and the groups' bitmaps, if there are any."""
     sigs = materialise(signatures(docs, n).join(reps, "id", "left_semi"), "signatures")
-    found = tried = None
     for depth in range(start or first_depth(threshold, target_recall, trees), MIN_DEPTH - 1, -1):
-        pairs = candidates(sigs, depth, trees, threshold)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
-        good = verify(pairs, docs, n, threshold)
-        found = good if found is None else found.union(good)
+        rows, buckets = prefixes(sigs, depth, trees)  # a shorter prefix finds all that a longer one does
+        crowd = maps = None
+        large = buckets.where(F.col("n") > BLOCK)
+        if not large.isEmpty():
+            crowded = materialise(rows.join(large, "key").select("id", F.explode(F.array("first", "last")).alias("leader")), "crowded")
+            texts = crowd_texts(crowded, sigs, docs, n, threshold)
+            crowd, maps = texts.select("id"), bitmaps(texts)
+        pairs = candidates(sigs, rows, buckets, crowd, depth, trees, threshold)
+        pairs = materialise(pairs if crowd is None else pairs.union(crowd_pairs(texts, threshold)), "candidates")
+        found = verify(pairs, docs, n, threshold)
         if recall_reached(found, depth, trees, target_recall):
             break
-    return found
+    return found, maps
+
+
+def similar_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, *args, **options) -> DataFrame:
+    """``(a, b, jaccard)`` of all links of ``linked``, one by one: in a dense group they grow as its square."""
+    found, maps = linked(docs, reps, n, threshold, *args, **options)
+    return found if maps is None else found.union(dense_pairs(maps, threshold))
+
+
+def classes_and_degrees(links: DataFrame, maps: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``roots(id, root)`` and ``degrees(id, n_links)`` of all texts with links.
+
+    Links within dense groups are counted where they are found. For the classes, each text gives one link to another
+    class of those found so far, until there is none: at each round half of the classes that still have one go.
+    """
+    degrees, edges = ends(links).groupBy("id").agg(F.count("*").alias("n_links")), links.select("a", "b")
+    if maps is not None:
+        dense = materialise(ends(dense_pairs(maps, threshold)).groupBy("id").agg(F.count("*").alias("n_links"), F.min("other").alias("least")), "dense-degrees")
+        degrees = degrees.union(dense.select("id", "n_links")).groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        edges = edges.union(dense.select("id", "least"))
+    while True:
+        roots = components(edges)
+        if maps is None:
+            return roots, degrees
+        placed = maps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        across = ends(dense_pairs(placed, threshold, "a_root <> b_root")).groupBy("id").agg(F.min("other"))
+        across = materialise(across, "across")
+        if across.isEmpty():
+            return roots, degrees
+        edges = edges.union(across)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, target_recall: float = 0.98) -> DataFrame:
@@ -214,24 +350,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fewer than n words are one gram. Repeated ids are each reported. A row with a null id is linked by its exact
     words only. No rows give no rows.
     """
-    out, _ = join_with_links(docs, id_col, text_col, n, threshold, target_recall)
-    return out
-
-
-def join_with_links(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, target_recall: float = 0.98) -> tuple[DataFrame, DataFrame]:
-    """``ngram_join`` and its links ``(a, b, jaccard)`` between smallest ids of text classes."""
     members, classes = text_classes(docs, id_col, text_col)
     words = docs.select(F.col(id_col).alias("id"), words_of(F.lower(text_of(text_col))).alias("w"))
-    links = similar_pairs(words, classes.select(F.col("rep").alias("id")), n, threshold, target_recall)
-    roots = components(links)
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    links, maps = linked(words, classes.select(F.col("rep").alias("id")), n, threshold, target_recall)
+    roots, degree = classes_and_degrees(links, maps, threshold)
     per_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     per_class = materialise(per_class.select("digest", "rep", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "per-class")
     out = lookup(members, per_class, "digest", "n", members.count())
     return out.select(
         F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), F.col("n").alias("n_copies"), "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
-    ), links
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

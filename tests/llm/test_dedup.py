@@ -137,6 +137,40 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert all(r["n_links"] == 24 and r["class_id"] == 0 for r in got)
 
 
+@pytest.mark.parametrize("words", [32, 1])
+def test_crowds_of_similar_texts(spark, monkeypatch, words):
+    """Pairs of near copies and of texts with a common line are counted, but few are written."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SQUARE", 32, raising=False)
+    monkeypatch.setattr(ngram_join, "WORDS", words, raising=False)  # one word of bits: most shingles are in the rest
+    rng, texts = np.random.default_rng(5), []
+    for c in range(2):
+        base = [f"b{c}x{i}" for i in range(80)]
+        texts += [[f"n{rng.integers(40)}" if rng.random() < r else w for w in base] for r in rng.uniform(0.02, 0.12, 150)]
+    line = [f"l{i}" for i in range(14)]
+    texts += [line + [f"o{k}x{i}" for i in range(rng.integers(4, 24))] for k in range(150)]
+    texts = list(dict.fromkeys(map(tuple, texts)))
+    rows = [(k, " ".join(w), None) for k, w in enumerate(texts)]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in texts]
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    degree, root = Counter(x for p in links for x in p), list(range(len(sets)))
+    for _ in range(9):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    written, write = Counter(), ngram_join.materialise
+
+    def counting(df, name, **options):
+        out = write(df, name, **options)
+        written[name] = max(written[name], out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counting)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_join.ngram_join(make(spark, rows)).collect()}
+    assert {i: c for i, (_, c) in got.items()} == dict(enumerate(root))
+    assert all(got[i][0] <= degree[i] for i in got) and sum(n for n, _ in got.values()) >= 0.99 * 2 * len(links)
+    assert max(written[x] for x in ("candidates", "keyed-pairs", "links")) < len(links) / 4
+
+
 def test_links_near_the_threshold(spark):
     n, pairs = 1500, []
     for k in range(n):
