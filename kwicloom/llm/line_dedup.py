@@ -3,6 +3,7 @@
 * Equal lines are one: lines are grouped by their text, with map-side combine, which keeps the first occurrence.
 * Signatures: one permutation of the shingles into ``BINS`` bins, empty bins filled from the next full one;
   bands of ``ROWS`` bins are the keys under which lines meet.
+* Only lines that meet another or occur again travel further: a filter of bitmaps picks them where they lie.
 * Verification: in a band, each line is compared with the leader (the least number); then, where the lines of
   a band are still in several components, with every line of the other components, block by block. That loses no
   connection that all pairs would give, without forming the pairs inside a component. Sketches of the shingle
@@ -12,7 +13,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, components, lookup, materialise, partitions, unboxed
+from .common import BITS, boxed, components, hit_filter, lookup, materialise, may_hit, partitions, unboxed
 from .pieces import mix
-from .units import MAIL, STEP, Places, columns_of, delivered, exchange, id_of, rolling, scatter, trim
+from .units import MAIL, STEP, Places, columns_of, delivered, exchange, id_of, rolling, scatter, short, trim
 
 SHINGLE = 10
 THRESHOLD = 0.75
@@ -44,6 +45,9 @@ BLOCK = 512
 
 #: Characters that are hashed at once: their arrays stay in a core's cache.
 NEAR = 1 << 17
+#: Bits of a filter for each row that it is made of, and bitmaps of one filter at most (of 4 KB).
+BITS_PER_ROW = 8
+FILTER = 8192
 
 
 def stretches(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -94,23 +98,31 @@ def band_keys(lines: list[str], k: int = SHINGLE, bins: int = BINS, rows: int =
     return out
 
 
-def shingle_sets(lines: list[str], k: int) -> Iterator[np.ndarray]:
-    """The sorted different shingle hashes of each line."""
+def shingle_sets(lines: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted different shingle hashes of each line, one line after the other, and the line of each; about ``NEAR`` characters at a time."""
     for lo, hi in stretches(lines, NEAR):
         h, of = shingle_hashes(lines[lo:hi], k)
-        edges = np.searchsorted(of, np.arange(hi - lo + 1)).tolist()
+        of = of.astype(np.uint16 if hi - lo <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
+        order = np.argsort(h)
+        order = order[np.argsort(of[order], kind="stable")]
+        h, of = h[order], of[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+        yield h[new], of[new].astype(np.int64)
+
+
+def sets_of(lines: list[str], k: int) -> Iterator[np.ndarray]:
+    """The set of each line, as one sorted array."""
+    for h, of in shingle_sets(lines, k):
+        edges = [0, *np.cumsum(np.bincount(of)).tolist()]
         for a, b in zip(edges, edges[1:]):
-            own = np.sort(h[a:b])
-            yield own[np.append(True, own[1:] != own[:-1])] if b - a > 1 else own
+            yield h[a:b]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    common = int(np.count_nonzero(b[at] == a))
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / (len(a) + len(b) - common)
 
 
@@ -122,7 +134,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
     """``(doc, line_no, line)`` for every line that may be removed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(id_of(id_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^ \t\r]") if least <= 1 else F.length(F.translate("line", " \t\r", "")) >= least)
+    return lines.where(F.ltrim("line", F.lit(" \t\r")) != "" if least <= 1 else F.length(F.translate("line", " \t\r", "")) >= least)
 
 
 def key_of(line: Column) -> Column:
@@ -133,19 +145,36 @@ def key_of(line: Column) -> Column:
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``(lid, line, doc, line_no, n)``: each different line by its text, with a number of its own, its first occurrence and how many it has.
 
-    The first occurrence travels as one decimal number, which the hash aggregation can update in place.
+    The first occurrence travels as one number, which the hash aggregation can update in place: a long where ids
+    have 32 bits beside their sign, else a decimal.
     """
-    wide = "decimal(38,0)"
-    place = F.col("doc").cast(wide) * F.lit(1 << 31).cast(wide) + F.col("line_no").cast(wide)
-    lines = exploded(docs, id_col, text_col, least).select("line", place.cast(wide).alias("at"))
-    lines = lines.groupBy("line").agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    doc = F.floor(F.col("at") / F.lit(1 << 31).cast(wide)).cast(wide)
-    out = lines.select(F.monotonically_increasing_id().alias("lid"), "line", doc.cast("long").alias("doc"), (F.col("at") - doc * F.lit(1 << 31).cast(wide)).cast("int").alias("line_no"), "n")
-    return materialise(out, "distinct-lines")
+    low, high = docs.agg(F.min(id_of(id_col)), F.max(id_of(id_col))).first()
+    lines = exploded(docs, id_col, text_col, least)
+    if low is None or -(1 << 32) <= low and high < 1 << 32:
+        at = F.shiftleft("doc", 31).bitwiseOR(F.col("line_no").cast("long"))
+        doc, line_no = F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
+    else:
+        wide = "decimal(38,0)"
+        unit = F.lit(1 << 31).cast(wide)
+        at = (F.col("doc").cast(wide) * unit + F.col("line_no").cast(wide)).cast(wide)
+        doc = F.floor(F.col("at") / unit).cast(wide)
+        line_no = F.col("at") - doc * unit
+    lines = lines.select("line", at.alias("at")).groupBy("line").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    out = lines.select(F.monotonically_increasing_id().alias("lid"), "line", doc.cast("long").alias("doc"), line_no.cast("int").alias("line_no"), "n")
+    return materialise(out, "distinct-lines", compression="snappy")
+
+
+def filter_of(rows: DataFrame, key: str) -> tuple[DataFrame, str, int]:
+    """What ``may_hit`` needs beside the rows; a filter that would be too large lets more pass."""
+    buckets = max(1, min(FILTER, -(-rows.count() * BITS_PER_ROW // BITS)))
+    return materialise(hit_filter(rows, key, buckets), "line-filter"), key, buckets
 
 
 def bands_of(lines: DataFrame, places: Places, shingle: int) -> DataFrame:
-    """Mail of band keys and line numbers, to the buckets of the band keys, about ``STEP`` characters at a time."""
+    """Mail of band keys and line numbers, to the buckets of the band keys, about ``NEAR`` characters at a time.
+
+    Within its bucket, 32 bits stand for a key: lines that they confuse meet in vain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -153,7 +182,7 @@ def bands_of(lines: DataFrame, places: Places, shingle: int) -> DataFrame:
             every, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             keys = np.concatenate([band_keys(texts[lo:hi], shingle) for lo, hi in stretches(texts, NEAR)]).ravel()
             own = np.repeat(every, BANDS)
-            mail = [*scatter((keys % np.uint64(places.n)).astype(np.int64), (keys, own), places, task)]
+            mail = [*scatter((keys % np.uint64(places.n)).astype(np.int64), (short(keys), own), places, task)]
             dest, source, data = zip(*mail)
             yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(source, pa.int32()), pa.array(data, pa.binary())], names=["dest", "source", "data"])
             del texts, keys, own, mail, data
@@ -162,35 +191,54 @@ def bands_of(lines: DataFrame, places: Places, shingle: int) -> DataFrame:
     return lines.select("lid", "line").mapInArrow(run, MAIL)
 
 
-def meetings(bucket: int, table: pa.Table) -> Iterator[tuple]:
+def meetings(places: Places) -> Callable[[int, pa.Table], Iterator[tuple]]:
     """``(band, leader, key)`` rows of the bands that several lines share; the leader is the least."""
-    band, key = columns_of(table)
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    first = np.append(True, band[1:] != band[:-1])
-    which = np.cumsum(first) - 1
-    many = (np.bincount(which) > 1)[which]
-    leader = key[first][which]
-    yield from zip(band[many].astype(np.int64).tolist(), leader[many].tolist(), key[many].tolist())
+
+    def run(bucket: int, table: pa.Table) -> Iterator[tuple]:
+        band, key = columns_of(table)
+        both = np.sort((band.astype(np.uint64) << np.uint64(32)) | np.arange(len(band), dtype=np.uint64))
+        band, order = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = band[1:] == band[:-1]
+        many = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        if len(many):
+            band, key = band[many], key[order[many]]
+            first = np.append(True, band[1:] != band[:-1])
+            leader = np.minimum.reduceat(key, np.flatnonzero(first))[np.cumsum(first) - 1]
+            yield from zip((band.astype(np.int64) * places.n + bucket).tolist(), leader.tolist(), key.tolist())
+
+    return run
 
 
-def sketched(lines: DataFrame, shingle: int) -> DataFrame:
-    """``(lid, line, size, sketch)``: how many different shingles a line has, and how many of them in each of ``CELLS`` cells.
+def candidates(lines: DataFrame, bands: DataFrame, shingle: int) -> DataFrame:
+    """The lines that meet another or occur again: ``(lid, met, key, hash, first, n)`` and, for those that meet,
+    ``(line, size, sketch)``: how many different shingles a line has, and how many of them in each of ``CELLS`` cells.
 
-    A cell is one byte; the sketch of a line with more in a cell is null.
+    A cell is one byte; the sketch of a line with more in a cell is null. The text of the other lines is not moved.
     """
+    met = bands.select(F.col("key").alias("lid"))
+    some = may_hit(lines, *filter_of(met.union(lines.where("n > 1").select("lid")), "lid"))
+    some = some.join(met.distinct().withColumn("met", F.lit(True)), "lid", "left").where("met or n > 1").withColumn("met", F.col("met").isNotNull())
+    some = some.select("lid", "met", key_of(F.col("line")).alias("key"), F.xxhash64("line").alias("hash"), "doc", "line_no", "n", F.when(F.col("met"), F.col("line")).alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sketch = [], []
-            for h in shingle_sets(batch.column(1).to_pylist(), shingle):
-                cells = np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-                size.append(len(h))
-                sketch.append(cells.astype(np.uint8).tobytes() if cells.max() < 256 else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(sketch, pa.binary())], names=["lid", "line", "size", "sketch"])
+            met = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False))
+            size, sketch = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, None, object)
+            done = 0
+            for h, of in shingle_sets(batch.column(7).take(pa.array(met)).to_pylist(), shingle):
+                n = int(of[-1]) + 1
+                own = met[done : done + n]
+                cells = np.bincount(of * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
+                size[own] = np.bincount(of)
+                for k, row, most in zip(own.tolist(), cells.astype(np.uint8), cells.max(1).tolist()):
+                    if most < 256:
+                        sketch[k] = row.tobytes()
+                done += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(sketch, pa.binary())], names=[*batch.schema.names, "size", "sketch"])
             trim()
 
-    return lines.select("lid", "line").mapInArrow(run, "lid long, line string, size int, sketch binary")
+    schema = "lid long, met boolean, key binary, hash long, doc long, line_no int, n long, line string, size int, sketch binary"
+    return materialise(some.mapInArrow(run, schema), "met-lines")
 
 
 def plausible(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -228,7 +276,7 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int)
                             names[x] = None
                             size += len(x)
                     hi += 1
-                sets = dict(zip(names, shingle_sets(list(names), shingle)))
+                sets = dict(zip(names, sets_of(list(names), shingle)))
                 good += [jaccard(sets[x], sets[y]) >= threshold for x, y in zip(left[lo:hi], right[lo:hi])]
                 lo = hi
             kept = pa.array(good, pa.bool_())
@@ -240,15 +288,18 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float, shingle: int)
     return plausible(pairs, lines, threshold).join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def line_roots(lines: DataFrame, n_lines: int, threshold: float, shingle: int) -> DataFrame:
-    """``(id, root)`` of the lines that are similar to another, directly or through others.
+def met_bands(lines: DataFrame, n_lines: int, shingle: int) -> DataFrame:
+    """``(band, leader, key)`` of the bands that several lines share.
 
     A line shorter than a shingle is similar to its copies only, and those are one line here.
     """
     places = Places.of(max(partitions(lines.sparkSession), -(-n_lines * BANDS // BUCKET)))
     mail = bands_of(lines.where(F.length("line") >= shingle), places, shingle)
-    bands = materialise(exchange(delivered(mail, places), "dest", meetings, "band long, leader long, key long"), "bands")
-    lines = materialise(sketched(lines.join(bands.select(F.col("key").alias("lid")).distinct(), "lid", "left_semi"), shingle), "met-lines")
+    return materialise(exchange(delivered(mail, places), "dest", meetings(places), "band long, leader long, key long"), "bands")
+
+
+def line_roots(lines: DataFrame, bands: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """``(id, root)`` of the lines that are similar to another, directly or through others."""
     star = bands.where("leader < key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     edges = materialise(verified(star, lines, threshold, shingle), "star")
     roots = components(edges)
@@ -262,28 +313,42 @@ def line_roots(lines: DataFrame, n_lines: int, threshold: float, shingle: int) -
     right = rooted.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("block").alias("j"), other.alias("i"))
     across = left.join(right, ["band", "i", "j"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
     more = materialise(verified(across, lines, threshold, shingle), "across")
-    return roots if more.limit(1).isEmpty() else components(edges.union(more))
+    return roots if more.limit(1).isEmpty() else joined(roots, more)
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` after further edges between lines: only components that these link are searched again."""
+    for x in "ab":
+        edges = edges.join(roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    edges = materialise(edges, "links")
+    top = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    ends = edges.select(F.col("a").alias("id"), F.col("root_a").alias("root")).union(edges.select("b", "root_b"))
+    alone = ends.where("id = root").distinct().join(roots, "id", "left_anti")
+    return materialise(roots.union(alone).join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "joined")
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, least: int) -> DataFrame:
     """``(doc, line_no)`` of the lines to remove."""
     lines = distinct_lines(docs, id_col, text_col, least)
     size = lines.agg(F.count("*"), F.sum("n")).first()
-    roots = line_roots(lines, size[0], threshold, shingle)
-    per_line = lines.select("lid", key_of(F.col("line")).alias("key"), F.struct("doc", "line_no").alias("first"), "n").join(roots.withColumnRenamed("id", "lid"), "lid", "left")
+    bands = met_bands(lines, size[0], shingle)
+    lines = candidates(lines, bands, shingle)
+    roots = line_roots(lines.where("met"), bands, threshold, shingle)
+    per_line = lines.select("lid", "key", "hash", F.struct("doc", "line_no").alias("first"), "n").join(roots.withColumnRenamed("id", "lid"), "lid", "left")
     per_line = per_line.where("n > 1 or root is not null")
-    per_line = materialise(per_line.select("key", "first", "n", F.coalesce("root", "lid").alias("root")), "line-roots")
+    per_line = materialise(per_line.select("key", "hash", "first", "n", F.coalesce("root", "lid").alias("root")), "line-roots")
     keepers = per_line.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
-    decided = materialise(per_line.join(keepers, "root").select("key", "n", "keeper"), "line-keepers")
-    every = exploded(docs, id_col, text_col, least).select("doc", "line_no", key_of(F.col("line")).alias("key"))
-    found = lookup(every, decided, "key", "n", size[1] or 0)
+    decided = materialise(per_line.join(keepers, "root").where("n > 1 or first <> keeper").select("key", "hash", "n", "keeper"), "line-keepers")
+    every = exploded(docs, id_col, text_col, least).withColumn("hash", F.xxhash64("line"))
+    every = may_hit(every, *filter_of(decided.select("hash"), "hash")).select("doc", "line_no", key_of(F.col("line")).alias("key"))
+    found = lookup(every, decided.drop("hash"), "key", "n", size[1] or 0)
     keeper = F.col("keeper")
     return found.where(keeper.isNotNull() & ((keeper["doc"] != F.col("doc")) | (keeper["line_no"] != F.col("line_no")))).select("doc", "line_no")
 
 
 def with_lines_removed(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, least: int) -> DataFrame:
     """``docs`` boxed, with ``_text`` and ``_gone``, the sorted numbers of the removed lines, null if none."""
-    gone = removed_lines(docs, id_col, text_col, threshold, shingle, least).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_gone"))
+    gone = removed_lines(docs, id_col, text_col, threshold, shingle, least).groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
     return boxed(docs, id_of(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(gone, F.col("_id") == F.col("doc"), "left")
 
 

@@ -97,6 +97,37 @@ def test_short_lines(spark):
     assert got == {i: (4, 2 if i else 0) for i in range(8)}  # blank lines stay
 
 
+def test_only_lines_that_meet_or_recur_travel(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 12)) for _ in range(300)]
+    rows = [(i, f"{x}\nAll rights reserved.\n" + (f"{own[0]} {i}" if i < 3 else ""), None) for i, x in enumerate(own)]
+    written, write = {}, line_dedup.materialise
+
+    def counting(df, name, **options):
+        out = write(df, name, **options)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counting)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == {i: 1 if i > 2 or i == 0 else 2 for i in got} and len(got) == 300
+    assert written["distinct-lines"] == 304 and written["met-lines"] == 5
+
+
+def test_ids_beyond_32_bits(spark):
+    rows = [(sign * (1 << 62) + i, f"same\n{i * 7919} and so on, {'abcd'[i] * 20}\nsame", None) for i in range(4) for sign in (-1, 1)]
+    for part in (rows, [(i, t, x) for i, (_, t, x) in enumerate(rows)], [((-1) ** i * ((1 << 32) - 1 - i), t, x) for i, (_, t, x) in enumerate(rows)]):
+        gone = removed_by_lines(part)
+        assert {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(make(spark, part)).collect()} == {i: len(gone[i]) for i, *_ in part}
+
+
+@pytest.mark.parametrize("edges,more,want", [([(1, 2), (5, 6), (8, 9)], [(2, 6), (6, 7), (3, 4)], {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 3: 3, 4: 3, 8: 8, 9: 8}), ([], [(3, 4), (4, 1)], {1: 1, 3: 1, 4: 1})])
+def test_components_are_joined(spark, edges, more, want):
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = line_dedup.joined(line_dedup.components(frame(edges)), frame(more)).collect()
+    assert {r["id"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def test_drop_lines_keeps_columns(docs, rows, nothing):
     out = line_dedup.drop_lines(docs)
     assert out.columns == docs.columns
