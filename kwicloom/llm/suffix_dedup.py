@@ -5,7 +5,9 @@ hash in it, so equal windows have equal anchors at equal places. Only anchors th
 each of their occurrences, the windows that it anchors lie in one stretch of text, its context.
 
 * Equal contexts are one: the first keeps its windows, the others lose them (first in the unit, then over all).
-* The different contexts of an anchor go to one shard, which concatenates its contexts and builds their suffix
+* The different contexts of an anchor go to one shard. Of these, the windows that another context of the anchor
+  could have are kept: windows at nearby places round the anchor have a middle in common, and only where two
+  contexts have an equal middle can a window be equal. The shard concatenates what is left and builds the suffix
   array by induced sorting and the permuted common prefixes. Suffixes that share ``width`` bytes are
   neighbours; of each such group, the first window in document order stays.
 * An anchor with over ``hot`` occurrences may have too many contexts for one task. Each of its windows is then
@@ -14,7 +16,9 @@ each of their occurrences, the windows that it anchors lie in one stretch of tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from .units import MAIL, Places, STEP, columns_of, delivered, dumps, exchange, l
 WIDTH = 100
 GRAM = 50
 HOT = 50_000
+#: Classes of the places that an anchor may have in a window; windows of a class have a middle in common.
+CLASSES = 17
 
 
 def leftmost_least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +122,82 @@ def windows_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), of
 
 
+def plausible(contexts: list[tuple[bytes, int, int]], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context (its bytes, its anchor's hash and place), the first and last start of windows that another context
+    could have; the last is less than the first if there are none. A negative place: any of its windows may be shared.
+
+    Equal windows have their anchor at the same place, so they are of one class and have its middle in common.
+    """
+    most = width - gram
+    step = -(-(most + 1) // CLASSES)
+    keys, of, kinds = [], [], []
+    for k, (text, h, place) in enumerate(contexts):
+        if place < 0:
+            keys.append(hash(h))
+            of.append(k)
+            kinds.append(-1)
+            continue
+        shift = most - place  # a window that starts at i has the anchor at place - i, its number is i + shift
+        for c in range(shift // step, (len(text) - width + shift) // step + 1):
+            keys.append(hash((h, c, text[min(c * step + step - 1, most) - shift : c * step - shift + width])))
+            of.append(k)
+            kinds.append(c)
+    _, which, counts = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
+    good = counts[which] > 1
+    who, kind = np.array(of, np.int64)[good], np.array(kinds, np.int64)[good]
+    lo, hi = np.full(len(contexts), CLASSES, np.int64), np.full(len(contexts), -2, np.int64)
+    np.minimum.at(lo, who, kind)
+    np.maximum.at(hi, who, kind)
+    place = np.array([x[2] for x in contexts], np.int64)
+    last = np.array([len(x[0]) for x in contexts], np.int64) - width
+    first = np.where(lo < 0, 0, np.maximum(0, lo * step - most + place))
+    last = np.where(lo < 0, last, np.minimum(last, hi * step + step - 1 - most + place))
+    return first, np.where(hi < -1, -1, last)
+
+
+class Context(NamedTuple):
+    """The windows of one anchor that lie in one stretch. own: document order, with the place in the document last."""
+
+    text: bytes
+    own: tuple[int, ...]
+    unit: int
+    lo: int
+    hash: int
+    place: int
+
+
+def merged(contexts: Iterable[Context], width: int, lost: dict[int, list[tuple[int, int]]]) -> list[Context]:
+    """The first of equal contexts each; the others' windows are lost."""
+    first: dict[bytes, Context] = {}
+    for x in contexts:
+        old = first.setdefault(x.text, x)
+        if old is not x:
+            loser = old if x.own < old.own else x
+            if loser is old:
+                first[x.text] = x
+            lost.setdefault(loser.unit, []).append((loser.lo, loser.lo + len(x.text) - width))
+    return [*first.values()]
+
+
+def undecided(contexts: Iterable[Context], width: int, gram: int, lost: dict[int, list[tuple[int, int]]]) -> list[Context]:
+    """What is left for the suffix array, in document order: contexts are merged and narrowed in turn, until that takes away little."""
+    left = merged(contexts, width, lost)
+    anchors = Counter(x.hash for x in left)
+    left = [x for x in left if anchors[x.hash] > 1]
+    while left:
+        size = sum(len(x.text) for x in left)
+        begin, end = plausible([(x.text, x.hash, x.place) for x in left], width, gram)
+        narrow = (
+            Context(x.text[a : b + width], (*x.own[:-1], x.own[-1] + a), x.unit, x.lo + a, x.hash, x.place - a if x.place >= 0 else x.place)
+            for x, a, b in zip(left, begin.tolist(), end.tolist())
+            if a <= b
+        )
+        left = merged(narrow, width, lost)
+        if sum(len(x.text) for x in left) > 0.9 * size:
+            break
+    return sorted(left, key=lambda x: x.own)
+
+
 def later_windows(contexts: list[bytes], keys: list[tuple], width: int) -> dict[int, np.ndarray]:
     """For each context, the starts of its windows that also start earlier, by key and place, in another or in itself.
 
@@ -177,6 +259,7 @@ def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram:
         at, _ = windows_of(u.lo[many], u.hi[many])
         whole = rolling(u.bytes, width)[at] if len(at) else np.zeros(0, np.uint64)
         first, last = np.concatenate([u.lo[some], at]), np.concatenate([u.hi[some], at])
+        place = np.concatenate([u.anchor[some] - u.lo[some], np.full(len(at), -1)]).astype(np.int32)
         route = np.concatenate([u.hash[some], whole])
         order = np.argsort(first, kind="stable")  # document order, so the first in the unit comes first
         seen: set[bytes] = set()
@@ -196,34 +279,17 @@ def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, gram:
             lo, route = first[sent], route[sent]
             d = u.doc(lo)
             ids = np.array([k for k, _ in u.rows], np.int64)[d]
-            yield from scatter((mix(route) % np.uint64(n)).astype(np.int64), (lo, ids, d, lo - u.first[d], route, text, np.full(len(lo), unit, np.int32)), places, unit, 3)
+            yield from scatter((mix(route) % np.uint64(n)).astype(np.int64), (lo, ids, d, lo - u.first[d], route, place[sent], text, np.full(len(lo), unit, np.int32)), places, unit, 3)
         yield -1, unit, dumps(np.array(gone, np.int64).reshape(-1, 2))
 
     def shard(bucket: int, table: pa.Table) -> Iterator[tuple]:
         lost: dict[int, list[tuple[int, int]]] = {}
-        first: dict[bytes, tuple] = {}
-        for lo, key, d, at, h, text, unit in zip(*(c.tolist() for c in columns_of(table))):
-            own = (key, unit, d, at)
-            old = first.get(text)
-            if old is None:
-                first[text] = (own, unit, lo, h)
-                continue
-            loser = (unit, lo) if old[0] < own else (old[1], old[2])
-            if own < old[0]:
-                first[text] = (own, unit, lo, h)
-            lost.setdefault(loser[0], []).append((loser[1], loser[1] + len(text) - width))
-        per_anchor: dict[int, int] = {}
-        for *_, h in first.values():
-            per_anchor[h] = per_anchor.get(h, 0) + 1
         # equal windows have their anchor at the same place, so a context never repeats one within itself
-        left = [(text, x) for text, x in first.items() if per_anchor[x[3]] > 1]
-        del first
+        left = undecided((Context(text, (key, unit, d, at), unit, lo, h, place) for lo, key, d, at, h, place, text, unit in zip(*(c.tolist() for c in columns_of(table)))), width, gram, lost)
         if left:
-            left.sort(key=lambda x: x[1][0])
-            found = later_windows([t for t, _ in left], [x[0] for _, x in left], width)
+            found = later_windows([x.text for x in left], [x.own for x in left], width)
             for k, inner in found.items():
-                _, unit, lo, _ = left[k][1]
-                lost.setdefault(unit, []).extend((lo + i, lo + i) for i in inner.tolist())
+                lost.setdefault(left[k].unit, []).extend((left[k].lo + i, left[k].lo + i) for i in inner.tolist())
         for unit, pairs in lost.items():
             both = np.array(pairs, np.int64).reshape(-1, 2)
             yield from scatter(np.full(len(both), unit, np.int32), (both,), places, bucket)

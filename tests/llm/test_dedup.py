@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,36 @@ def test_suffixes(docs, rows, width, gram, hot, nothing):
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))), i
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
+
+
+@pytest.mark.parametrize("width,gram", [(100, 50), (20, 10), (21, 4), (12, 12)])
+def test_contexts_are_narrowed_without_loss(width, gram):
+    rng = np.random.default_rng(width)
+    passages = [rng.integers(97, 123, 4 * width).astype(np.uint8).tobytes() for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        own = rng.integers(97, 123, 2 * width).astype(np.uint8).tobytes()
+        part = passages[rng.integers(6)][rng.integers(2 * width) :][: rng.integers(width // 2, 2 * width)]
+        texts.append(own[: rng.integers(2 * width)] + part + own[rng.integers(2 * width) :])
+    seen, want = set(), set()
+    for d, text in enumerate(texts):
+        for i in range(len(text) - width + 1):
+            if text[i : i + width] in seen:
+                want.add((d, i))
+            seen.add(text[i : i + width])
+    u = suffix_dedup.Unit(pa.table({"data": [units.dumps([*enumerate(texts)])]}), width, gram)
+    contexts = []
+    for lo, hi, at, h in zip(u.lo.tolist(), u.hi.tolist(), u.anchor.tolist(), u.hash.tolist()):
+        d = int(u.doc(np.array([lo]))[0])
+        i = lo - int(u.first[d])
+        contexts.append(suffix_dedup.Context(u.raw[lo : hi + width], (d, 0, d, i), d, i, h, at - lo))
+    n = Counter(x.hash for x in contexts)
+    before = sum(len(x.text) for x in {x.text: x for x in contexts}.values() if n[x.hash] > 1)
+    lost = {}
+    left = suffix_dedup.undecided(contexts[::-1], width, gram, lost)
+    got = {(d, i) for d, pairs in lost.items() for a, b in pairs for i in range(a, b + 1)}
+    if left:
+        for k, inner in suffix_dedup.later_windows([x.text for x in left], [x.own for x in left], width).items():
+            got |= {(left[k].unit, left[k].lo + i) for i in inner.tolist()}
+    assert got == want and want
+    assert sum(len(x.text) for x in left) < 0.7 * before or gram == width
