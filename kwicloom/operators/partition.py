@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..concordance import View
 from ..registry import algorithm, metadata_attributes, token_attributes, vector_columns
+from . import pairs
 from .grouping import Grouping
 from .select import FLAG
 
-#: Lines beyond which a clustering that needs all pairs is refused.
+#: Lines beyond which a clustering that needs a matrix of all pairs is refused.
 MAX_LINES = 100_000
 
 
@@ -87,7 +88,7 @@ def agglomerate(vectors: np.ndarray, k: int, linkage: str = "average") -> np.nda
     method={"type": "string", "enum": ["kmeans", "agglomerative"], "default": "kmeans"},
 )
 def partition_by_embeddings(view: View, embeddings_column: str, n_partitions: int = 5, metric: str = "cosine", linkage: str = "average", method: str = "kmeans") -> Grouping:
-    """k-means, distributed; or agglomeration, which needs all pairs and takes at most ``MAX_LINES`` lines."""
+    """k-means, distributed; or agglomeration: by mean distances in sweeps over all pairs, by others with a matrix of at most ``MAX_LINES`` lines."""
     vectors = view.metadata.select("line_id", F.col(embeddings_column).cast("array<double>").alias("v")).where("v is not null")
     if method == "kmeans":
         from pyspark.ml.clustering import KMeans
@@ -95,6 +96,9 @@ def partition_by_embeddings(view: View, embeddings_column: str, n_partitions: in
 
         data = vectors.select("line_id", array_to_vector("v").alias("features"))
         keyed = KMeans(k=n_partitions, seed=42, maxIter=50).fit(data).transform(data).select("line_id", F.col("prediction").cast("long").alias("c"))
+    elif linkage == "average":
+        ids, v = pairs.collected(vectors)
+        keyed = pairs.frame(vectors.sparkSession, "line_id long, c long", line_id=ids, c=pairs.average_linkage(vectors.sparkSession, v, n_partitions))
     else:
         if vectors.limit(MAX_LINES + 1).count() > MAX_LINES:
             raise ValueError(f"agglomeration takes at most {MAX_LINES} lines")
