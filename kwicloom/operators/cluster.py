@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..concordance import View
 from ..registry import algorithm, token_attributes, vector_columns
+from . import pairs
 from .grouping import Grouping
 from .partition import MAX_LINES
 from .select import FLAG
@@ -71,19 +72,21 @@ def cluster_context_tree(view: View, tokens_attribute: str = "word", offset: int
     return Grouping("cluster", groups, members.select("id", "line_id", pos.alias("pos"), "prototypicality", "own"))
 
 
-def cosine_or_euclid(metric: str, a: str, b: str):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    if metric == "cosine":
-        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-        return 1 - F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def core_points(vectors: DataFrame, eps: float, min_samples: int, metric: str = "cosine") -> DataFrame:
-    """``(line_id, n)`` of vectors ``(line_id, v)`` with at least ``min_samples`` neighbours within ``eps``, themselves included."""
-    a, b = vectors.select(F.col("line_id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("line_id").alias("b"), F.col("v").alias("vb"))
-    near = a.join(b, cosine_or_euclid(metric, "va", "vb") <= eps)
-    return near.groupBy(F.col("a").alias("line_id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples)
+    """``(line_id, n)`` of vectors ``(line_id, v)`` with at least ``min_samples`` neighbours within ``eps``, themselves included.
+
+    Vectors with a null element, and those of different lengths, are no neighbours.
+    """
+    spark = vectors.sparkSession
+    whole = vectors.where("v is not null and not exists(v, x -> x is null)")
+    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in sorted(r[0] for r in whole.select(F.size("v")).distinct().collect()):
+        some, v = pairs.collected(whole.where(F.size("v") == size))
+        ids.append(some)
+        counts.append(pairs.neighbours(spark, v, eps, metric))
+    ids, which = np.unique(np.concatenate(ids), return_inverse=True)
+    n = np.bincount(which, np.concatenate(counts), len(ids)).astype(np.int64)
+    return pairs.frame(spark, "line_id long, n long", line_id=ids[n >= min_samples], n=n[n >= min_samples])
 
 
 def dbscan(v: np.ndarray, eps: float, min_samples: int, metric: str, block: int = 2048) -> np.ndarray:

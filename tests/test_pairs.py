@@ -37,3 +37,19 @@ def test_mean_linkage_without_a_matrix(spark, spread):
         g = partition.partition_by_embeddings(made(spark, v), "embedding", k, method="agglomerative")
         got = {r["line_id"]: r["label"] for r in g.members.join(g.groups.select("id", "label"), "id").collect()}
         assert [got[i] for i in range(60)] == [f"Cluster_{c}" for c in partition.agglomerate(v, k)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_core_points_in_tiles(spark, spread, metric):
+    v = vectors(50)
+    if metric == "cosine":
+        norm = np.linalg.norm(v, axis=1)
+        d = 1 - v @ v.T / np.where(np.outer(norm, norm) == 0, 1, np.outer(norm, norm))
+    else:
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    eps = float(np.quantile(d, 0.2))
+    near = (d <= eps).sum(1)
+    rows = spark.createDataFrame([*[(i, x.tolist()) for i, x in enumerate(v)], (50, None), (51, [None] * 6), (52, [1.0])], "line_id long, v array<double>")
+    got = {r["line_id"]: r["n"] for r in cluster.core_points(rows, eps, 5, metric).where("line_id < 50").collect()}
+    assert got == {i: n for i, n in enumerate(near.tolist()) if n >= 5} and got
+    assert not cluster.core_points(rows, eps, 5, metric).where("line_id in (50, 51)").count()
