@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,31 +108,37 @@ def dbscan(v: np.ndarray, eps: float, min_samples: int, metric: str, block: int
             stack = [i]
             label[i] = c
             while stack:
-                for y in near[stack.pop()].tolist():
-                    if label[y] < 0:
-                        label[y] = c
-                        if core[y]:
-                            stack.append(y)
+                new = near[stack.pop()]
+                new = new[label[new] < 0]
+                label[new] = c
+                stack += new[core[new]].tolist()
             c += 1
     return label
 
 
-def splitter(radius: float, last: bool, min_samples: int, metric: str):
-    """What one task does with the lines of one cluster: prototypicality, and the child each line goes to (-2: none)."""
+#: Lines of a cluster up to which one task splits it; it lists their neighbours.
+ONE_TASK = 4096
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_id")
-        v = np.stack(pdf["v"].to_list())
-        d = np.linalg.norm(v - v.mean(0), axis=1)
-        proto = 1 - d / d.max() if d.max() > 0 else np.ones(len(v))
-        need = max(min_samples, min(len(v) // 4, 3))
-        label = np.full(len(v), -2)
-        if not last and len(v) > 1 and len(v) >= need:
-            found = dbscan(v, radius, need, metric)
-            label = found if found.max() >= 0 else label
-        return pd.DataFrame({"id": pdf["id"], "line_id": pdf["line_id"], "child": label, "proto": proto})
 
-    return split
+def prototypicalities(v: np.ndarray) -> np.ndarray:
+    d = np.linalg.norm(v - v.mean(0), axis=1)
+    return 1 - d / d.max() if d.max() > 0 else np.ones(len(v))
+
+
+def split(spark, v: np.ndarray, clusters: list[np.ndarray], radius: float, min_samples: int, metric: str) -> list[np.ndarray]:
+    """The child that each line of each cluster goes to (-2: none); small clusters are split several in a task, large ones each by many."""
+    need = [max(min_samples, min(len(rows) // 4, 3)) for rows in clusters]
+    out = [np.full(len(rows), -2) for rows in clusters]
+    splits = [c for c, rows in enumerate(clusters) if len(rows) > 1 and len(rows) >= need[c]]
+    for n in sorted({need[c] for c in splits}):
+        small = [c for c in splits if need[c] == n and len(clusters[c]) <= ONE_TASK]
+        todo = [clusters[c] for c in small]
+        found = pairs.grouped_work(spark, todo, sum(len(rows) ** 2 for rows in todo), partial(dbscan, eps=radius, min_samples=n, metric=metric), v)
+        large = [c for c in splits if need[c] == n and len(clusters[c]) > ONE_TASK]
+        found += [pairs.density_clusters(spark, v[clusters[c]], radius, n, metric) for c in large]
+        for c, label in zip(small + large, found):
+            out[c] = label if label.max() >= 0 else out[c]
+    return out
 
 
 @algorithm(
@@ -142,35 +148,32 @@ def splitter(radius: float, last: bool, min_samples: int, metric: str):
 def clustering_hierarchical_embeddings(view: View, embeddings_column: str, depth: int = 3, eps: float = 0.5, min_samples: int = 2, metric: str = "cosine") -> Grouping:
     """Density clusters within density clusters, the radius shrinking by a fifth a level. Noise is a child of its own, the last.
 
-    One level at a time, all of its clusters in parallel, one task each; a cluster of over ``MAX_LINES`` lines is refused.
+    One level at a time, all of its clusters in parallel. The driver holds the vectors, tasks compare them in tiles.
     """
     spark = view.metadata.sparkSession
-    vectors = view.metadata.select("line_id", F.col(embeddings_column).cast("array<double>").alias("v")).where("v is not null").persist()
-    if vectors.limit(MAX_LINES + 1).count() > MAX_LINES:
-        raise ValueError(f"it takes at most {MAX_LINES} lines")
-    groups, rows, pictures = [(1, None, 1, "root", 1)], [], {}
-    level_df = vectors.withColumn("id", F.lit(1).cast("long"))
-    next_id = 2
+    ids, v = pairs.collected(view.metadata.select("line_id", F.col(embeddings_column).cast("array<double>").alias("v")))
+    groups, pictures = [(1, None, 1, "root", 1)], {}
+    members: dict[str, list[np.ndarray]] = {"id": [], "line_id": [], "prototypicality": [], "own": []}
+    live = [(1, "root", np.arange(len(ids)))] if len(ids) else []
     for level in range(1, depth + 1):
-        done = level_df.groupBy("id").applyInPandas(splitter(eps * 0.8 ** (level - 1), level == depth, min_samples, metric), "id long, line_id long, child long, proto double").collect()
-        kids: dict[tuple[int, int], int] = {}
-        for gid, child in sorted({(r["id"], r["child"]) for r in done if r["child"] != -2}, key=lambda x: (x[0], x[1] < 0, x[1])):
-            label = next(g[3] for g in groups if g[0] == gid)
-            kids[gid, child] = next_id
-            groups.append((next_id, gid, level + 1, f"{'' if label == 'root' else label + '.'}{'noise' if child < 0 else child}", next_id))
-            next_id += 1
+        rows = [r for _, _, r in live]
+        labels = split(spark, v, rows, eps * 0.8 ** (level - 1), min_samples, metric) if level < depth else [np.full(len(r), -2) for r in rows]
         down = []
-        for r in done:
-            rows.append((r["id"], r["line_id"], r["line_id"], r["proto"], r["child"] == -2))
-            if r["child"] != -2:
-                down.append((kids[r["id"], r["child"]], r["line_id"]))
-        for gid in {r["id"] for r in done}:
-            pictures[gid] = [r["line_id"] for r in sorted((r for r in done if r["id"] == gid), key=lambda r: (-r["proto"], r["line_id"]))[:2]]
-        if not down:
-            break
-        level_df = spark.createDataFrame(down, "id long, line_id long").join(vectors, "line_id")
-    groups_df = spark.createDataFrame(groups, "id long, parent_id long, level int, label string, ord long")
-    return Grouping("cluster", groups_df, spark.createDataFrame(rows, "id long, line_id long, pos long, prototypicality double, own boolean"), pictures)
+        for (gid, name, r), label in zip(live, labels):
+            proto = prototypicalities(v[r])
+            pictures[gid] = ids[r[np.lexsort((r, -proto))[:2]]].tolist()
+            for column, values in (("id", np.full(len(r), gid)), ("line_id", ids[r]), ("prototypicality", proto), ("own", label == -2)):
+                members[column].append(values)
+            order = np.argsort(label, kind="stable")
+            kinds, start = np.unique(label[order], return_index=True)
+            parts = dict(zip(kinds.tolist(), np.split(order, start[1:])))
+            for child in sorted((x for x in parts if x != -2), key=lambda x: (x < 0, x)):
+                groups.append((len(groups) + 1, gid, level + 1, f"{'' if name == 'root' else name + '.'}{'noise' if child < 0 else child}", len(groups) + 1))
+                down.append((len(groups), groups[-1][3], r[parts[child]]))
+        live = down
+    all_of = {k: np.concatenate([np.zeros(0, {"own": bool, "prototypicality": float}.get(k, np.int64)), *x]) for k, x in members.items()}
+    frame = pairs.frame(spark, "id long, line_id long, pos long, prototypicality double, own boolean", **{k: all_of[c] for k, c in (("id", "id"), ("line_id", "line_id"), ("pos", "line_id"), ("prototypicality", "prototypicality"), ("own", "own"))})
+    return Grouping("cluster", spark.createDataFrame(groups, "id long, parent_id long, level int, label string, ord long"), frame, pictures)
 
 
 @algorithm(

@@ -53,3 +53,14 @@ def test_core_points_in_tiles(spark, spread, metric):
     got = {r["line_id"]: r["n"] for r in cluster.core_points(rows, eps, 5, metric).where("line_id < 50").collect()}
     assert got == {i: n for i, n in enumerate(near.tolist()) if n >= 5} and got
     assert not cluster.core_points(rows, eps, 5, metric).where("line_id in (50, 51)").count()
+
+
+@pytest.mark.parametrize("metric, eps", [("cosine", 0.12), ("euclidean", 1.8)])
+def test_density_clusters_in_tiles(spark, spread, metric, eps):
+    v = vectors(80)
+    g = cluster.clustering_hierarchical_embeddings(made(spark, v), "embedding", depth=2, eps=eps, metric=metric)
+    want = cluster.dbscan(v, eps, 3, metric)
+    names = {r["id"]: r["label"] for r in g.groups.collect()}
+    got = {r["line_id"]: names[r["id"]] for r in g.members.where("id > 1").collect()}
+    assert len(set(got.values())) > 2 and [got[i] for i in range(80)] == ["noise" if c < 0 else str(c) for c in want]
+    assert g.members.where("id = 1").count() == 80
