@@ -14,7 +14,6 @@ from ..concordance import View
 from ..registry import algorithm, token_attributes, vector_columns
 from . import pairs
 from .grouping import Grouping
-from .partition import MAX_LINES
 from .select import FLAG
 
 SEP = "\u0001"
@@ -181,27 +180,30 @@ def clustering_hierarchical_embeddings(view: View, embeddings_column: str, depth
     max_split={"type": "integer", "minimum": 1, "default": 4}, min_stray_lines={"type": "integer", "minimum": 0, "default": 0}, max_stray_lines={"type": "integer", "minimum": 0, "default": 3},
 )
 def clustering_random(view: View, seed: int = 42, depth: int = 3, min_split: int = 2, max_split: int = 4, min_stray_lines: int = 0, max_stray_lines: int = 3) -> Grouping:
-    """A random tree, for trying out displays; lines are first put in the order of an md5 of seed and id. At most ``MAX_LINES`` lines."""
+    """A random tree, for trying out displays; lines are first put in the order of an md5 of seed and id. One sequence of
+    random numbers makes it, on the driver, which holds the ids and a number for each line and level."""
     spark = view.metadata.sparkSession
-    ids = [r[0] for r in view.lines.limit(MAX_LINES + 1).collect()]
-    if len(ids) > MAX_LINES:
-        raise ValueError(f"it takes at most {MAX_LINES} lines")
+    ids = view.lines.toArrow()["line_id"].to_pylist()
     ids.sort(key=lambda x: hashlib.md5(f"{seed}_{x}".encode()).hexdigest())
     rng = random.Random(seed)
-    groups, rows, pictures = [], [], {}
+    groups, pictures = [], {}
+    members: dict[str, list[np.ndarray]] = {"id": [], "line_id": [], "pos": [], "prototypicality": [], "own": []}
 
     def grow(lines: list[int], level: int, parent: int | None, label: str) -> None:
         me = len(groups) + 1
         groups.append((me, parent, level, label, me))
         pictures[me] = lines[:5]
-        proto = {x: rng.random() for x in lines}
+        proto = np.array([rng.random() for _ in lines], float)
         stray = min(rng.randint(min_stray_lines, max(min_stray_lines, max_stray_lines)), len(lines)) if level < depth else len(lines)
-        own, rest = lines[:stray], lines[stray:]
+        rest = lines[stray:]
         parts = min(rng.randint(min_split, max(min_split, max_split)), len(rest)) if rest else 0
         rng.shuffle(rest)
-        rows.extend((me, x, i, proto[x], x in set(own)) for i, x in enumerate(lines))
+        place = np.arange(len(lines))
+        for column, values in (("id", np.full(len(lines), me)), ("line_id", np.array(lines, np.int64)), ("pos", place), ("prototypicality", proto), ("own", place < stray)):
+            members[column].append(values)
         for k in range(parts):
             grow(rest[k::parts], level + 1, me, f"{label}.{k + 1}")
 
     grow(ids, 1, None, "C")
-    return Grouping("cluster", spark.createDataFrame(groups, "id long, parent_id long, level int, label string, ord long"), spark.createDataFrame(rows, "id long, line_id long, pos long, prototypicality double, own boolean"), pictures)
+    frame = pairs.frame(spark, "id long, line_id long, pos long, prototypicality double, own boolean", **{k: np.concatenate(x) for k, x in members.items()})
+    return Grouping("cluster", spark.createDataFrame(groups, "id long, parent_id long, level int, label string, ord long"), frame, pictures)

@@ -64,3 +64,10 @@ def test_density_clusters_in_tiles(spark, spread, metric, eps):
     got = {r["line_id"]: names[r["id"]] for r in g.members.where("id > 1").collect()}
     assert len(set(got.values())) > 2 and [got[i] for i in range(80)] == ["noise" if c < 0 else str(c) for c in want]
     assert g.members.where("id = 1").count() == 80
+
+
+def test_random_tree_of_many_lines(spark, spread):
+    g = cluster.clustering_random(made(spark, vectors(40)))
+    rows = g.members.collect()
+    assert sorted(r["line_id"] for r in rows if r["own"]) == list(range(40))
+    assert [(r["line_id"], round(r["prototypicality"], 4)) for r in rows if r["id"] == 1][:3] == [(10, 0.6394), (29, 0.025), (39, 0.275)]
