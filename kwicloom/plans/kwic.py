@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,28 @@ def matches(corpus: Corpus, query: str) -> DataFrame:
     return matched(corpus, parse_or_words(query), "doc_id")
 
 
-def clipped(corpus: Corpus, parts: list[Part], left: int, right: int, limit: str | None, *columns: Column | str) -> DataFrame:
-    """``matched`` with ``lo`` and ``hi``, the context within the document or the span of kind ``limit``; no join, as spans are arrays of their document."""
-    if limit in (None, "file"):
-        found = matched(corpus, parts, *columns, F.size("toks").alias("_n"))
-        return found.withColumn("lo", F.greatest(F.lit(0), F.col("m") - left)).withColumn("hi", F.least(F.col("_n") - 1, F.col("m_end") + right)).drop("_n")
-    found = matched(corpus, parts, *columns, corpus.span_array(limit).alias("_spans"))
-    around = F.filter("_spans", lambda s: (s["start"] <= F.col("m")) & (s["end"] >= F.col("m_end")))
-    found = found.withColumn("_span", F.explode(around))
-    return found.withColumn("lo", F.greatest("_span.start", F.col("m") - left)).withColumn("hi", F.least("_span.end", F.col("m_end") + right)).drop("_spans", "_span")
+def clipped(corpus: Corpus, parts: list[Part], left: int, right: int, limit: str | None, *columns: Column | str, kinds: list[str] | None = None, inner: Callable[..., list[Column]] | None = None) -> DataFrame:
+    """``m``, ``m_end``, ``lo`` and ``hi``: matches and their contexts within the document or the span of kind ``limit``; no join, as spans are arrays of their document.
+
+    ``inner(m, m_end, lo, hi)``: further columns of a match, which may read arrays of the document (and the spans of
+    ``kinds``). They are made before matches become rows, so no row carries an array of its document. What they read
+    has to be named twice at least, else Spark makes it anew for each match.
+    """
+    limited = limit not in (None, "file")
+    docs = corpus.with_holders(sorted({*(kinds or []), *([limit] if limited else [])}))
+    starts = match_starts(parts, F.col("toks"), {n: F.col(n) for n in corpus.attributes})
+
+    def row(m: Column, first: Column, last: Column) -> Column:
+        m_end = m + (len(parts) - 1)
+        ends = m.alias("m"), m_end.alias("m_end"), F.greatest(first, m - left).alias("lo"), F.least(last, m_end + right).alias("hi")
+        return F.struct(*ends, *(inner(m, m_end, ends[2], ends[3]) if inner else []))
+
+    if limited:
+        found = F.flatten(F.transform(starts, lambda m: F.transform(corpus.held(limit, m, m + (len(parts) - 1)), lambda s: row(m, s["start"], s["end"]))))
+    else:
+        found = F.transform(starts, lambda m: row(m, F.lit(0), F.size("toks") - 1))
+    rows = docs.select(*columns, F.explode(found).alias("_row"))
+    return rows.select("*", "_row.*").drop("_row")
 
 
 def contexts(corpus: Corpus, query: str, left: int = 100, right: int = 100, limit: str | None = "s") -> DataFrame:
@@ -82,10 +97,10 @@ def numbered(found: DataFrame) -> DataFrame:
 
 def kwic(corpus: Corpus, query: str, left: int = 20, right: int = 20, limit: str | None = None) -> DataFrame:
     """One row per match: ``doc_id, m, left_context, node, right_context`` and the metadata. One scan, no shuffle."""
-    rows = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", "toks", *corpus.metadata)
     piece = lambda a, b: F.array_join(F.slice("toks", a + 1, F.greatest(b - a + 1, F.lit(0))), " ")
-    c = F.col
-    return rows.select("doc_id", "m", piece(c("lo"), c("m") - 1).alias("left_context"), piece(c("m"), c("m_end")).alias("node"), piece(c("m_end") + 1, c("hi")).alias("right_context"), *corpus.metadata)
+    inner = lambda m, m_end, lo, hi: [piece(lo, m - 1).alias("left_context"), piece(m, m_end).alias("node"), piece(m_end + 1, hi).alias("right_context")]
+    rows = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", *corpus.metadata, inner=inner)
+    return rows.select("doc_id", "m", "left_context", "node", "right_context", *corpus.metadata)
 
 
 def collocates(corpus: Corpus, query: str, left: int = 5, right: int = 5) -> DataFrame:
@@ -110,12 +125,15 @@ def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, lim
     file_columns = corpus.metadata if span_metadata is True or "file" in (span_metadata or []) else []
     named = [F.col(c).alias(f"file.{c}") for c in file_columns] + [F.col(c) for c in metadata or []]
     arrays = [("word", F.col("toks")), *[(n, F.col(n)) for n in corpus.attributes]]
-    rows = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", *[c.alias(f"_a{i}") for i, (_, c) in enumerate(arrays)], *[corpus.span_array(k).alias(f"_s{i}") for i, k in enumerate(kinds)], *named)
-    size = F.col("hi") - F.col("lo") + 1
-    context = F.arrays_zip(*[F.slice(f"_a{i}", F.col("lo") + 1, size).alias(name) for i, (name, _) in enumerate(arrays)])
-    own = [F.get(F.filter(f"_s{i}", lambda s: (s["start"] <= F.col("m")) & (s["end"] >= F.col("m"))), F.lit(0)).alias(f"_s{i}") for i, _ in enumerate(kinds)]
     names = [f"`file.{c}`" for c in file_columns] + list(metadata or [])
-    found = rows.select("doc_id", "m", "m_end", "lo", "hi", context.alias("_words"), *own, *names)
+
+    def inner(m: Column, m_end: Column, lo: Column, hi: Column) -> list[Column]:
+        size = F.least(hi - lo + 1, F.size("toks"))
+        words = F.arrays_zip(*[F.slice(c, lo + 1, size).alias(name) for name, c in arrays]).alias("_words")
+        return [words, *[F.get(corpus.held(k, m, m), F.lit(0)).alias(f"_s{i}") for i, k in enumerate(kinds)]]
+
+    found = clipped(corpus, parse_or_words(query), left, right, limit, "doc_id", *named, kinds=kinds, inner=inner)
+    found = found.select("doc_id", "m", "m_end", "lo", "hi", "_words", *[f"_s{i}" for i, _ in enumerate(kinds)], *names)
     lines = numbered(found.persist() if keep else found)
     if keep:
         lines = lines.persist()

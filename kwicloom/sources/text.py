@@ -76,12 +76,23 @@ class Corpus:
             return F.col(kind)
         if kind != "s":
             raise ValueError(f"no spans of kind {kind!r}")
-        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))
-        return F.aggregate(
-            F.filter("sents", lambda n: n > 0),
-            F.array().cast("array<struct<id:int,start:int,end:int>>"),
-            lambda acc, n: F.concat(acc, F.array(F.named_struct(F.lit("id"), F.size(acc), F.lit("start"), last(acc) + 1, F.lit("end"), (last(acc) + n).cast("int")))),
-        )
+        # one element a token, so no sum is made anew for each sentence
+        first = F.flatten(F.transform(F.filter("sents", lambda n: n > 0), lambda n, k: F.transform(F.sequence(F.lit(1), n), lambda j: F.when(j == 1, F.struct(k.alias("id"), n.alias("n"))))))
+        return F.array_compact(F.transform(first, lambda x, i: F.when(x.isNotNull(), F.struct(x["id"].alias("id"), i.alias("start"), (i + x["n"] - 1).alias("end")))))
+
+    def with_holders(self, kinds: list[str]) -> DataFrame:
+        """``docs`` with what ``held`` reads of each kind of spans: ``_at_s``, the sentence of each token, or the spans as ``_at_kind``."""
+        docs = self.docs.select("*", *[self.span_array(k).alias(f"_at_{k}") for k in kinds])
+        if "s" not in kinds:
+            return docs
+        return docs.withColumn("_at_s", F.flatten(F.transform("_at_s", lambda x: F.array_repeat(x, x["end"] - x["start"] + 1))))
+
+    def held(self, kind: str, m: Column, m_end: Column) -> Column:
+        """The spans of a kind that hold a match, as an array. The column is named twice, so that Spark keeps it instead of making it for each match."""
+        at = F.col(f"_at_{kind}")
+        if kind == "s":
+            return F.when((m < F.size(at)) & (F.get(at, m)["end"] >= m_end), F.array(F.get(at, m))).otherwise(F.slice(at, 1, 0))
+        return F.when(F.size(at) > 0, F.filter(at, lambda s: (s["start"] <= m) & (s["end"] >= m_end))).otherwise(F.slice(at, 1, 0))
 
     def span_columns(self, kind: str) -> list[str]:
         """What a line takes from its span: the number of a sentence, all columns but the ends of other spans."""
