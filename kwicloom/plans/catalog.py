@@ -562,10 +562,14 @@ def turns_by_role_kwic(spark, sf_dir):
 SELECT row_number() OVER (ORDER BY skip + a) - 1 AS id, skip + a AS "start", skip + b AS "end" FROM s JOIN n USING (doc_id)""")
 def wmatrix_sentences(spark, sf_dir):
     """Sentence spans rebuilt from a table of words with marks, as an annotation tool exports it, each document a file."""
-    c = corpus(spark, sf_dir, True)
-    marks = c.spans("s").select("doc_id", F.explode(F.array(F.struct((F.col("start") * 3).alias("k"), F.lit("<s>").alias("word")), F.struct((F.col("end") * 3 + 2).alias("k"), F.lit("</s>").alias("word")))).alias("x")).select("doc_id", "x.*")
-    rows = c.tokens().select("doc_id", (F.col("pos") * 3 + 1).alias("k"), "word").unionByName(marks)
-    rows = globally(rows, [F.col("doc_id"), F.col("k")], "_row", rank=False).select("_row", "word", F.col("doc_id").alias("file"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    order = globally(docs.select("doc_id").distinct(), [F.col("doc_id")], "_file", rank=False)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 2000)
+    spread = docs.repartition(parts, "doc_id").join(order, "doc_id")  # each file's rows stay in one part
+    c = from_documents(spread)
+    words = F.transform(c.span_array("s"), lambda s: F.concat(F.array(F.lit("<s>")), F.slice("toks", s["start"] + 1, F.least(s["end"] - s["start"] + 1, F.size("toks"))), F.array(F.lit("</s>"))))
+    rows = c.docs.select("doc_id", "_file", F.posexplode(F.flatten(words)).alias("_at", "word"))
+    rows = rows.select((F.col("_file") * (1 << 32) + F.col("_at")).alias("_row"), "word", F.col("doc_id").alias("file"))
     return longs(wmatrix_spans(rows)[1].select("id", "start", "end"), "start", "end")
 
 

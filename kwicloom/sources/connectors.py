@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..concordance import Concordance
-from ..functions.ranking import globally
+from ..functions.ranking import cumulated, globally
 
 TOKEN = r"(?U)\w+(?:-\w+)?|[^\w\s]+"
 #: Columns of CQPweb and BNCweb exports, by what they mean; compared without case.
@@ -223,16 +223,26 @@ def wmatrix(spark: SparkSession, path: str, table: str = "corpus", file_col: str
 
 
 def wmatrix_spans(rows: DataFrame, file_col: str = "file") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``(_row, word, ..., file)`` with ``<s>`` and ``</s>`` rows: tokens with ``cpos``, sentences from the marks, files from runs."""
+    """Rows ``(_row, word, ..., file)`` with ``<s>`` and ``</s>`` rows: tokens with ``cpos``, sentences from the marks, files from runs.
+
+    A file is one run of rows, so all but the sizes of files is done within them: rows that are spread by file stay
+    where they are. Sentences are stored, as the numbers of files follow from them.
+    """
     from pyspark.sql import Window
 
-    per_file = Window.partitionBy(file_col).orderBy("_row")  # a file is one run of rows
+    per_file = Window.partitionBy(file_col).orderBy("_row")
     marked = rows.withColumn("s_id", F.sum(F.when(F.col("word") == "<s>", 1).otherwise(0)).over(per_file))
-    real = marked.where(~F.col("word").isin("<s>", "</s>"))
-    tokens = globally(real, [F.col("_row")], "cpos", rank=False).withColumn("cpos", F.col("cpos") - 1).drop("_row")
-    sentences = tokens.groupBy(file_col, "s_id").agg(F.min("cpos").alias("start"), F.max("cpos").alias("end"))
-    files = tokens.groupBy(file_col).agg(F.min("cpos").alias("start"), F.max("cpos").alias("end"))
-    return tokens, globally(sentences, [F.col("start")], "id", rank=False).withColumn("id", F.col("id") - 1), globally(files, [F.col("start")], "id", rank=False).withColumn("id", F.col("id") - 1)
+    real = marked.where(~F.col("word").isin("<s>", "</s>")).withColumn("_at", F.row_number().over(per_file) - 1)
+    found = real.groupBy(file_col, "s_id").agg(F.min("_row").alias("_row"), F.min("_at").alias("start"), F.max("_at").alias("end")).persist()
+    sizes = found.groupBy(file_col).agg(F.min("_row").alias("_row"), (F.max("end") + 1).cast("long").alias("_n"), F.count("*").alias("_m"), F.lit(1).alias("_one"))
+    files = cumulated(sizes, [F.col("_row")], {"_skip": "_n", "_before": "_m", "id": "_one"})
+    skip = files.select(F.col(file_col).alias("_file"), "_skip", "_before")
+    tokens = real.join(skip, F.col(file_col).eqNullSafe(F.col("_file"))).withColumn("cpos", (F.col("_at") + F.col("_skip")).cast("long")).drop("_row", "_at", "_file", "_skip", "_before")
+    place = F.row_number().over(Window.partitionBy(file_col).orderBy("start"))
+    sentences = found.withColumn("_place", place).join(skip, F.col(file_col).eqNullSafe(F.col("_file")))
+    at = lambda c: (F.col(c) + F.col("_skip")).cast("long").alias(c)
+    sentences = sentences.select(file_col, "s_id", at("start"), at("end"), (F.col("_before") + F.col("_place") - 1).cast("long").alias("id"))
+    return tokens, sentences, files.select(file_col, F.col("_skip").alias("start"), (F.col("_skip") + F.col("_n") - 1).alias("end"), "id")
 
 
 def frequency_list(conc: Concordance, name: str, data: DataFrame, attribute: str, value: str, kind: str = "f", info: dict[str, Any] | None = None) -> None:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from kwicloom.functions import ranking
 from kwicloom.plans import kwic
 from kwicloom.sources import text
+from kwicloom.sources.connectors import wmatrix_spans
 
 
 def plan_of(df):
@@ -21,3 +23,24 @@ def test_spans_are_found_before_matches_become_rows(spark):
     two = kwic.contexts(corpus, '"and" []', 1, 9, "s").where("doc_id > 0").orderBy("doc_id", "m").collect()
     assert [(r["doc_id"], r["m"], r["m_end"]) for r in two] == [(3, 2, 3), (3, 4, 5)]
     assert [tuple(r) for r in corpus.spans("s").where("doc_id = 3").orderBy("id").select("id", "start", "end").collect()] == [(0, 0, 1), (1, 2, 5), (2, 6, 8), (3, 9, 10)]
+
+
+def test_sums_before_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 3)
+    rows = [(k * 7 % 20, k, 1) for k in range(20)]
+    df = spark.createDataFrame(rows, "o int, n long, one int")
+    for one_task in (3, 100):
+        got = sorted(tuple(r) for r in ranking.cumulated(df, [F.col("o")], {"skip": "n", "at": "one"}, one_task).collect())
+        ordered = sorted(rows)
+        assert [(r[0], r[3], r[4]) for r in got] == [(o, sum(x[1] for x in ordered[:i]), i) for i, (o, _, _) in enumerate(ordered)]
+
+
+def test_wmatrix_rows_are_numbered_within_their_files(spark):
+    files = {"b": "<s> x y </s> <s> z </s>", "a": "<s> u </s>", "c": "v <s> w </s>", None: "<s> q </s>"}
+    rows = [(w, f) for f, words in files.items() for w in words.split()]
+    df = spark.createDataFrame([(i, w, f) for i, (w, f) in enumerate(rows)], "_row long, word string, file string")
+    tokens, sentences, runs = wmatrix_spans(df)
+    assert [r["word"] for r in tokens.orderBy("cpos").collect()] == list("xyzuvwq") and sorted(r["cpos"] for r in tokens.collect()) == list(range(7))
+    assert [tuple(r) for r in sentences.orderBy("id").select("file", "id", "start", "end").collect()] == [("b", 0, 0, 1), ("b", 1, 2, 2), ("a", 2, 3, 3), ("c", 3, 4, 4), ("c", 4, 5, 5), (None, 5, 6, 6)]
+    assert [tuple(r) for r in runs.orderBy("id").select("id", "start", "end").collect()] == [(0, 0, 2), (1, 3, 3), (2, 4, 5), (3, 6, 6)]
+    assert "Window [row_number() windowspecdefinition(_row" not in plan_of(tokens)  # rows are in no one task
