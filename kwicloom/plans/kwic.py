@@ -120,6 +120,7 @@ def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, lim
     ``span_metadata``: whether, or for which kinds of spans, lines get the columns of the span that holds the match,
     as ``kind.column``; ``metadata``: documents' columns that lines get under their own names. ``keep``: lines are
     stored (in memory, or on disk beyond it), as numbering and every view read them; they are as many as matches.
+    They are stored in parts by ``line_id``, so what is grouped or joined by line needs no exchange.
     """
     kinds = [k for k in corpus.span_kinds if k != "file"] if span_metadata is True else [k for k in span_metadata or [] if k != "file"]
     file_columns = corpus.metadata if span_metadata is True or "file" in (span_metadata or []) else []
@@ -136,7 +137,10 @@ def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, lim
     found = found.select("doc_id", "m", "m_end", "lo", "hi", "_words", *[f"_s{i}" for i, _ in enumerate(kinds)], *names)
     lines = numbered(found.persist() if keep else found)
     if keep:
-        lines = lines.persist()
+        parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lines = lines.repartition(parts, "line_id").persist()
+        lines.count()  # from here on nothing reads what was found
+        found.unpersist()
     words = lines.select("line_id", "m", "m_end", "lo", F.posexplode("_words").alias("id_in_line", "_w"))
     cpos = F.col("lo") + F.col("id_in_line")
     offset = F.when(cpos < F.col("m"), cpos - F.col("m")).when(cpos > F.col("m_end"), cpos - F.col("m_end")).otherwise(0)

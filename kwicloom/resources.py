@@ -24,7 +24,7 @@ class Resources:
     items: dict[tuple[str, str], Resource] = field(default_factory=dict)
 
     def register_frequency_list(self, name: str, data: DataFrame, info: dict[str, Any] | None = None) -> None:
-        """A list with at least one of ``f``, ``pmw``, ``rel_f``; the others follow from it and ``sample_size``.
+        """A list with at least one of ``f``, ``pmw``, ``rel_f``; the others follow from it and ``sample_size``. It is stored.
 
         ``sample_size`` is the sum of ``f`` for a list that is ``complete`` (the default if it has ``f``).
         """
@@ -33,6 +33,7 @@ class Resources:
         if not have:
             raise ValueError("a frequency list needs f, pmw or rel_f")
         info.setdefault("complete", "f" in have)
+        data = data.persist()  # a row for each type; made from all tokens as a rule, and read for sums, joins and ranks
         if "sample_size" not in info and "f" in have and info["complete"]:
             info["sample_size"] = data.agg(F.sum("f")).first()[0] or 0
         n = info.get("sample_size")
@@ -67,6 +68,7 @@ class Resources:
         return globally(data.withColumn("_neg", -F.col(by)), [F.col("_neg"), *[F.col(c) for c in data.columns if c not in NUMBERS]], "rank", rank=False).drop("_neg")
 
     def register_scores(self, name: str, data: DataFrame, info: dict[str, Any] | None = None) -> None:
+        data = data.persist()
         attributes = [c for c, t in data.dtypes if t == "string"]
         self.items["scores", name] = Resource("scores", data, dict(info or {}), attributes)
 

@@ -44,3 +44,19 @@ def test_wmatrix_rows_are_numbered_within_their_files(spark):
     assert [tuple(r) for r in sentences.orderBy("id").select("file", "id", "start", "end").collect()] == [("b", 0, 0, 1), ("b", 1, 2, 2), ("a", 2, 3, 3), ("c", 3, 4, 4), ("c", 4, 5, 5), (None, 5, 6, 6)]
     assert [tuple(r) for r in runs.orderBy("id").select("id", "start", "end").collect()] == [(0, 0, 2), (1, 3, 3), (2, 4, 5), (3, 6, 6)]
     assert "Window [row_number() windowspecdefinition(_row" not in plan_of(tokens)  # rows are in no one task
+
+
+def test_lists_are_made_once_and_lines_stay_with_their_tokens(spark):
+    docs = spark.createDataFrame([(i, "this and that and more") for i in range(5)], "doc_id long, text string")
+    corpus = text.from_documents(docs)
+    c = kwic.concordance(corpus, '"and"', 2, 2, span_metadata=False)
+    c.add_annotation(("Annotate with Token-Level Frequency List", {}), ["list"])
+    c.resources.register_frequency_list("corpus", corpus.tokens().groupBy("word").agg(F.count("*").alias("f")))
+    c.add_annotation(("Annotate Association Scores", {"corpus_frequency_list": "corpus", "concordance_frequency_list": "list"}), ["scores"])
+    for stored in (c.resources.get_frequency_list("corpus"), c.resources.get_scores("scores")):
+        plan = stored._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and "regexp_extract_all" not in plan.partition("InMemoryRelation")[0]
+    assert {r["word"]: r["f"] for r in c.resources.get_frequency_list("corpus").collect()} == {"this": 5, "and": 10, "that": 5, "more": 5}
+    grouped = c.tokens.groupBy("line_id").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString().partition("InMemoryTableScan")[0]
+    assert sorted(r["count"] for r in grouped.collect()) == [4] * 10
