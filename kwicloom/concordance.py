@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resources import Resources
@@ -33,6 +34,8 @@ class View:
     resources: Resources
     node: Any = None
     slot: int = 0
+    #: ``(line_id, toks)`` of all lines, if ``tokens`` are made of it and nothing else.
+    packed: DataFrame | None = None
 
     @property
     def lines(self) -> DataFrame:
@@ -48,11 +51,25 @@ class View:
 
     def value_at(self, attribute: str, offset: int) -> DataFrame:
         """``(line_id, value)`` for every line: the tokens at an offset joined by blanks, "" if there are none."""
-        return self.joined(self.tokens.where(F.col("offset") == offset), attribute)
-
-    def joined(self, tokens: DataFrame, attribute: str, order: str = "id_in_line", descending: bool = False) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct((-F.col(order) if descending else F.col(order)).alias("o"), F.col(attribute).cast("string").alias("v"))))
-        per_line = tokens.where(F.col(attribute).isNotNull()).groupBy("line_id").agg(F.array_join(F.transform(items, lambda x: x["v"]), " ").alias("value"))
+        return self.joined(lambda t: t("offset") == offset, attribute)
+
+    def by_line(self, *columns: str) -> DataFrame:
+        """``(line_id, toks)``: the tokens of each line that has any, as structs in order. Where lines are stored with their tokens, no row is made for a token."""
+        if self.packed is not None and set(columns) <= set(self.packed.schema["toks"].dataType.elementType.names):
+            return self.packed
+        items = F.array_sort(F.collect_list(F.struct("id_in_line", "offset", *[c for c in dict.fromkeys(columns) if c not in ("id_in_line", "offset")])))
+        return self.tokens.groupBy("line_id").agg(items.alias("toks"))
+
+    def joined(self, keep: Callable[[Callable[[str], Column]], Column], attribute: str, descending: bool = False, reads: tuple[str, ...] = ()) -> DataFrame:
+        """``(line_id, value)`` for every line: its tokens that are not null joined by blanks, last first if ``descending``.
+
+        ``keep`` gets a function from names (``offset``, the attribute and what else it ``reads``) to columns of a token.
+        """
+        by_line = self.by_line(attribute, *reads)
+        words = F.transform(F.filter("toks", lambda t: keep(lambda name: t[name]) & t[attribute].isNotNull()), lambda t: t[attribute].cast("string"))
+        per_line = by_line.select("line_id", F.array_join(F.reverse(words) if descending else words, " ").alias("value"))
+        if by_line is self.packed:
+            return per_line
         return self.lines.join(per_line, "line_id", "left").select("line_id", F.coalesce("value", F.lit("")).alias("value"))
 
 
@@ -65,6 +82,8 @@ class Concordance:
     resources: Resources = field(default_factory=Resources)
     root: Any = None
     annotations: list[dict[str, Any]] = field(default_factory=list)
+    #: The tokens that lines are stored with, and ``(line_id, toks)``; of no use once ``tokens`` are others.
+    stored: tuple[DataFrame, DataFrame] | None = None
 
     def __post_init__(self) -> None:
         for name, df, need in (("metadata", self.metadata, {"line_id"}), ("tokens", self.tokens, {"line_id", "id_in_line"}), ("matches", self.matches, {"line_id", "match_start", "match_end"})):
@@ -81,7 +100,10 @@ class Concordance:
             self.root = Node(self, "query", None)
 
     def view(self) -> View:
-        return View(self.metadata, self.tokens, self.matches, self.resources)
+        return View(self.metadata, self.tokens, self.matches, self.resources, packed=self.packed())
+
+    def packed(self) -> DataFrame | None:
+        return self.stored[1] if self.stored and self.stored[0] is self.tokens else None
 
     def persist(self) -> Concordance:
         """Keep the three frames; work on a concordance reads them many times."""

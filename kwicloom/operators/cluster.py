@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..concordance import View
+from ..functions.ranking import globally
 from ..registry import algorithm, token_attributes, vector_columns
 from . import pairs
 from .grouping import Grouping
@@ -31,26 +32,19 @@ def cluster_context_tree(view: View, tokens_attribute: str = "word", offset: int
     """
     sign = 1 if direction == "right" else -1
     start = sign * abs(offset)
-    word = F.col(tokens_attribute).cast("string")
-    word = word if case_sensitive else F.lower(word)
-    step = (F.col("offset") - start) * sign
-    used = view.tokens.where((step >= 0) & (step < max_depth)).withColumn("_step", step)
-    joined = used.groupBy("line_id", "_step").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id_in_line", word.alias("v")))), lambda x: x["v"]), " ").alias("v"))
-    entries = joined.groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("_step", "v"))).alias("m"))
-    with_tokens = view.tokens.select("line_id").distinct().join(entries, "line_id", "left")
-    steps = F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")) for k in range(max_depth)])
-    paths = with_tokens.select("line_id", steps.alias("path"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1)))
-    under = paths.select("line_id", "path", levels.alias("depth"))
-    under = under.select("line_id", "depth", F.array_join(F.slice("path", 1, F.col("depth")), SEP).alias("key"), F.array_join(F.slice("path", 1, F.col("depth") + 1), SEP).alias("next"), F.col("path")[F.col("depth")].alias("token"))
-    nodes = under.groupBy("depth", "key").agg(F.count("*").alias("n")).where((F.col("depth") == 0) | (F.col("n") >= min_cluster_size))
-    tokens = under.groupBy("depth", "key", "token").agg(F.count("*").alias("k"))
-    best = tokens.groupBy("depth", "key").agg(F.max("k").alias("top"))
-    grown = nodes.select((F.col("depth") - 1).alias("depth"), F.col("key").alias("next"), F.lit(True).alias("grown")).where("depth >= 0")
-    members = (
-        under.join(nodes, ["depth", "key"]).join(tokens, ["depth", "key", "token"]).join(best, ["depth", "key"]).join(grown, ["depth", "next"], "left")
-        .select("depth", "key", "line_id", "token", (F.col("k") / F.col("top")).alias("prototypicality"), F.col("grown").isNull().alias("own"))
-    )
+    step = lambda t: (t["offset"] - start) * sign
+    word = lambda t: t[tokens_attribute].cast("string") if case_sensitive else F.lower(t[tokens_attribute].cast("string"))
+    used = F.transform(F.filter("toks", lambda t: (step(t) >= 0) & (step(t) < max_depth)), lambda t: F.struct(step(t).alias("k"), word(t).alias("v")))
+    near = view.by_line(tokens_attribute).select("line_id", used.alias("used"))
+    steps = F.array(*[F.array_join(F.transform(F.filter("used", lambda t: t["k"] == k), lambda t: t["v"]), " ") for k in range(max_depth)])  # noqa: B023
+    paths = near.select("line_id", steps.alias("path"))
+    under = paths.select("line_id", "path", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("depth"))
+    under = under.select("line_id", "depth", F.array_join(F.slice("path", 1, F.col("depth") + 1), SEP).alias("next"), F.length(F.col("path")[F.col("depth")]).alias("size"))
+    # what lines share is counted once; lines themselves travel once, to the node and word that they are under
+    tokens = under.groupBy("depth", "next", "size").agg(F.count("*").alias("k"))
+    key = F.when(F.col("depth") > 0, F.substring("next", F.lit(1), F.length("next") - F.col("size") - 1)).otherwise("")
+    tokens = tokens.select("*", key.alias("key"), F.right("next", F.col("size")).alias("token")).persist()
+    nodes = tokens.groupBy("depth", "key").agg(F.sum("k").alias("n"), F.max("k").alias("top")).where((F.col("depth") == 0) | (F.col("n") >= min_cluster_size)).persist()
     # pre-order: a node sorts by the (size desc, token) of every step of its path
     parts = F.split("key", SEP)
     steps_of = nodes.where("depth > 0").select("depth", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda d: F.array_join(F.slice(parts, 1, d), SEP))).alias("i", "prefix"))
@@ -59,14 +53,15 @@ def cluster_context_tree(view: View, tokens_attribute: str = "word", offset: int
     order = order.select("depth", "key", "i", F.struct((-F.col("size")).alias("s"), F.element_at(F.split("key", SEP), F.col("i") + 1).alias("t")).alias("o"))
     order = order.groupBy("depth", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]).alias("path_order"))
     tree = nodes.join(order, ["depth", "key"], "left").withColumn("path_order", F.coalesce("path_order", F.array().cast("array<struct<s:bigint,t:string>>")))
-    from ..functions.ranking import globally
-
-    tree = globally(tree, [F.col("path_order")], "id", rank=False)
+    tree = globally(tree.persist(), [F.col("path_order")], "id", rank=False)
     parent = tree.select((F.col("depth") + 1).alias("depth"), F.col("key").alias("pkey"), F.col("id").alias("parent_id"))
     tree = tree.withColumn("pkey", F.when(F.col("depth") > 0, F.array_join(F.slice(F.split("key", SEP), 1, F.col("depth") - 1), SEP)))
     tree = tree.join(parent, ["depth", "pkey"], "left")
-    groups = tree.select("id", "parent_id", (F.col("depth") + 1).alias("level"), F.when(F.col("depth") == 0, "root").otherwise(F.replace("key", F.lit(SEP), F.lit(" "))).alias("label"), F.col("id").alias("ord"))
-    members = members.join(tree.select("depth", "key", "id"), ["depth", "key"])
+    groups = tree.select("id", "parent_id", (F.col("depth") + 1).alias("level"), F.when(F.col("depth") == 0, "root").otherwise(F.replace("key", F.lit(SEP), F.lit(" "))).alias("label"), F.col("id").alias("ord"), F.col("n").alias("size"))
+    grown = tree.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.col("key").alias("next"), F.lit(True).alias("grown"))
+    words = tokens.join(tree.select("depth", "key", "top", "id"), ["depth", "key"]).join(grown, ["depth", "next"], "left")
+    words = words.select("depth", "next", "size", "id", "token", (F.col("k") / F.col("top")).alias("prototypicality"), F.col("grown").isNull().alias("own"))
+    members = under.join(words, ["depth", "next", "size"])
     pos = F.row_number().over(Window.partitionBy("id").orderBy("token", "line_id")).cast("long")
     return Grouping("cluster", groups, members.select("id", "line_id", pos.alias("pos"), "prototypicality", "own"))
 

@@ -26,9 +26,9 @@ def sort_by_token_attribute(view: View, tokens_attribute: str = "word", sorting_
 
     Ties are equal strings. An empty ``locale_str`` sorts by code point.
     """
-    side = {"token": F.col("offset") == offset, "left": F.col("offset") < 0, "right": F.col("offset") > 0}[sorting_scope]
-    tokens = view.tokens.where(side)
-    values = view.joined(tokens, tokens_attribute, "offset" if sorting_scope != "token" else "id_in_line", descending=sorting_scope == "left")
+    side = {"token": lambda t: t("offset") == offset, "left": lambda t: t("offset") < 0, "right": lambda t: t("offset") > 0}[sorting_scope]
+    tokens = view.tokens.where(side(F.col))
+    values = view.joined(side, tokens_attribute, descending=sorting_scope == "left")
     key = F.col("value") if case_sensitive else F.lower("value")
     if backwards:
         key = F.reverse(key)

@@ -467,8 +467,7 @@ u AS (SELECT line_id, d, array_to_string(p[1:d], chr(1)) AS key, p[d + 1] AS tok
 @query(f"WITH {TREE} SELECT CASE WHEN d = 0 THEN 'root' ELSE replace(key, chr(1), ' ') END AS label, d + 1 AS level, n FROM nodes")
 def context_tree_nodes(spark, sf_dir):
     g = cluster.cluster_context_tree(conc(spark, sf_dir).view(), min_cluster_size=3, max_depth=3)
-    sizes = g.members.groupBy("id").agg(F.count("*").alias("n"))
-    return longs(g.groups.join(sizes, "id").select("label", "level", "n"), "level")
+    return longs(g.groups.select("label", "level", F.col("size").alias("n")), "level")
 
 
 @query(f"""WITH {TREE}, c AS (SELECT d, key, tok, count(*) AS c FROM u GROUP BY ALL), b AS (SELECT d, key, max(c) AS top FROM c GROUP BY ALL)

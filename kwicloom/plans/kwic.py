@@ -141,13 +141,18 @@ def concordance(corpus: Corpus, query: str, left: int = 20, right: int = 20, lim
         lines = lines.repartition(parts, "line_id").persist()
         lines.count()  # from here on nothing reads what was found
         found.unpersist()
+
+    def offset_of(cpos: Column) -> Column:
+        return F.when(cpos < F.col("m"), cpos - F.col("m")).when(cpos > F.col("m_end"), cpos - F.col("m_end")).otherwise(0).cast("int")
+
     words = lines.select("line_id", "m", "m_end", "lo", F.posexplode("_words").alias("id_in_line", "_w"))
     cpos = F.col("lo") + F.col("id_in_line")
-    offset = F.when(cpos < F.col("m"), cpos - F.col("m")).when(cpos > F.col("m_end"), cpos - F.col("m_end")).otherwise(0)
-    tokens = words.select("line_id", "id_in_line", offset.cast("int").alias("offset"), *[F.col("_w")[n].alias(n) for n, _ in arrays], cpos.alias("cpos"))
+    tokens = words.select("line_id", "id_in_line", offset_of(cpos).alias("offset"), *[F.col("_w")[n].alias(n) for n, _ in arrays], cpos.alias("cpos"))
+    token = lambda w, i: F.struct(i.alias("id_in_line"), offset_of(F.col("lo") + i).alias("offset"), *[w[n].alias(n) for n, _ in arrays])
+    stored = (tokens, lines.select("line_id", F.transform("_words", token).alias("toks"))) if keep else None
     match_rows = lines.select("line_id", (F.col("m") - F.col("lo")).cast("long").alias("match_start"), (F.col("m_end") - F.col("lo")).cast("long").alias("match_end"), F.lit(0).alias("slot"))
     spans = [F.col(f"_s{i}")[c].alias(f"{k}.{c}") for i, k in enumerate(kinds) for c in corpus.span_columns(k)]
     meta = lines.select(
         "line_id", "doc_id", F.col("m").alias("original_match_start"), F.col("m_end").alias("original_match_end"), F.col("lo").alias("original_context_start"), F.col("hi").alias("original_context_end"), *names, *spans
     )
-    return Concordance(meta, tokens, match_rows, info={"query": query})
+    return Concordance(meta, tokens, match_rows, info={"query": query}, stored=stored)

@@ -7,6 +7,7 @@ import html
 import json
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .concordance import Concordance, top_rows
+from .concordance import Concordance, View, top_rows
 from .sources.files import global_matches
 from .tree import Node, save_template
 
@@ -85,10 +86,19 @@ def tripartite(tokens: DataFrame, attribute: str = "word") -> DataFrame:
     return tokens.groupBy("line_id").agg(part(o < 0).alias("left_context"), part(o == 0).alias("kwic"), part(o > 0).alias("right_context"))
 
 
+def contexts(view: View, attribute: str = "word") -> DataFrame:
+    """``tripartite`` of a view."""
+
+    def part(keep: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(F.filter("toks", lambda t: keep(t["offset"])), lambda t: t[attribute].cast("string")), " ")
+
+    return view.by_line(attribute).select("line_id", part(lambda o: o < 0).alias("left_context"), part(lambda o: o == 0).alias("kwic"), part(lambda o: o > 0).alias("right_context"))
+
+
 def view_frame(node: Node, token_attr: str = "word") -> DataFrame:
     """A node's lines in order: group label, scores, the three contexts and the metadata."""
     view = node.subset()
-    out = view.lines.join(tripartite(view.tokens, token_attr), "line_id", "left")
+    out = view.lines.join(contexts(view, token_attr), "line_id", "left")
     for k, keys in node.rank_keys.items():
         out = out.join(keys.select("line_id", F.col("key").alias(f"R{k}")), "line_id", "left")
     if node.grouping is not None and node.grouping.kind == "partitions":

@@ -102,10 +102,10 @@ class Node:
         selecting = any(n.selected is not None for n in self.ancestors())
         lines = self.lines()
         cut = (lambda df: df.join(lines, "line_id", "left_semi")) if selecting else (lambda df: df)
-        tokens = cut(c.tokens)
+        tokens, packed = cut(c.tokens), c.packed()
         if slot or "offset" not in tokens.columns:
-            tokens = with_offsets(tokens, c.matches, slot)
-        return View(cut(c.metadata), tokens, cut(c.matches), c.resources, self, slot)
+            tokens, packed = with_offsets(tokens, c.matches, slot), None
+        return View(cut(c.metadata), tokens, cut(c.matches), c.resources, self, slot, None if packed is None else cut(packed))
 
     def add_subset_node(self, algo: Algo, keep_arrangement: bool = True) -> Node:
         """Select lines. The same algorithm under the same node gives the node there is. An ordering and a grouping of

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from kwicloom.concordance import Concordance
 from kwicloom.functions import ranking
+from kwicloom.operators import cluster
 from kwicloom.plans import kwic
 from kwicloom.sources import text
 from kwicloom.sources.connectors import wmatrix_spans
@@ -60,3 +62,25 @@ def test_lists_are_made_once_and_lines_stay_with_their_tokens(spark):
     grouped = c.tokens.groupBy("line_id").count()
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString().partition("InMemoryTableScan")[0]
     assert sorted(r["count"] for r in grouped.collect()) == [4] * 10
+
+
+def lines_of_words(spark, n=30):
+    docs = spark.createDataFrame([(i, f"of w{i % 3} and the w{i % 4} w{i % 2} and so") for i in range(n)], "doc_id long, text string")
+    return kwic.concordance(text.from_documents(docs), '"and"', 3, 3, span_metadata=False, metadata=[])
+
+
+def own_plan(df):
+    """The plan without what stored frames are made of."""
+    return [x.strip(" :+-") for x in df._jdf.queryExecution().withCachedData().toString().split("\n") if not x.lstrip(" :").startswith("+- *")]
+
+
+def test_lines_of_the_context_tree_travel_once(spark):
+    c = lines_of_words(spark)
+    g = cluster.cluster_context_tree(c.view(), min_cluster_size=3, max_depth=3)
+    assert {r["id"]: r["size"] for r in g.groups.collect()} == {r["id"]: r["count"] for r in g.members.groupBy("id").count().collect()}
+    assert sum("explode(sequence(" in x for x in own_plan(g.members)) == 1
+    plain = Concordance(c.metadata, c.tokens.select("*"), c.matches)
+    assert plain.packed() is None and c.packed() is not None
+    again = cluster.cluster_context_tree(plain.view(), min_cluster_size=3, max_depth=3)
+    rows = lambda g: sorted(tuple(r) for r in g.members.join(g.groups.select("id", "label", "level"), "id").select("label", "level", "line_id", "pos", "prototypicality", "own").collect())
+    assert rows(g) == rows(again) and len(rows(g)) > 100
