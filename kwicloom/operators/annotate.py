@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..concordance import View
@@ -49,10 +49,13 @@ def scores_of(joined: DataFrame, attribute: str, n: float) -> DataFrame:
 
 
 def line_texts(view: View, attribute: str, start: int | None, end: int | None, node: bool, exclude_attribute: str | None = None, exclude: list | None = None) -> DataFrame:
-    tokens = view.window(start, end, node)
-    if exclude_attribute and exclude:
-        tokens = tokens.where(~F.coalesce(F.col(exclude_attribute).isin(list(exclude)), F.lit(False)))
-    return view.joined(tokens, attribute)
+    def keep(t: Callable[[str], Column]) -> Column:
+        cond = F.lit(True) if start is None else t("offset") >= start
+        cond = cond if end is None else cond & (t("offset") <= end)
+        cond = cond if node else cond & (t("offset") != 0)
+        return cond & ~F.coalesce(t(exclude_attribute).isin(list(exclude)), F.lit(False)) if exclude_attribute and exclude else cond
+
+    return view.joined(keep, attribute, reads=(exclude_attribute,) if exclude_attribute and exclude else ())
 
 
 EXCLUDE = {"exclude_values_attribute": {"type": "string"}, "exclude_values_list": {"type": "array"}}
@@ -61,13 +64,14 @@ AROUND = {"window_start": WINDOW | {"default": -5}, "window_end": WINDOW | {"def
 
 def tfidf_long(texts: DataFrame) -> DataFrame:
     """``(line_id, term, w)``: terms of two letters or more, smoothed inverse document frequency plus one, unit length."""
-    terms = texts.select("line_id", F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("term"))
-    tf = terms.groupBy("line_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    words = texts.select("line_id", F.regexp_extract_all(F.lower("value"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("terms"))
+    df = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n"))  # one row
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("line_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "line_id").select("line_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = words.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count("*").alias("tf"))
+    raw = tf.join(idf, "term").select("line_id", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    lines = raw.groupBy("line_id").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("norm"))
+    return lines.select("line_id", "norm", F.explode("x").alias("x")).select("line_id", F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("w"))
 
 
 @algorithm("Annotate with TF-IDF", "annotation", scope="line", enrich={"tokens_attribute": token_attributes}, tokens_attribute={"type": "string", "default": "word"}, **EXCLUDE, **AROUND)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kwicloom.concordance import Concordance
 from kwicloom.functions import ranking
-from kwicloom.operators import cluster
+from kwicloom.operators import annotate, cluster
 from kwicloom.plans import kwic
 from kwicloom.sources import text
 from kwicloom.sources.connectors import wmatrix_spans
@@ -84,3 +84,15 @@ def test_lines_of_the_context_tree_travel_once(spark):
     again = cluster.cluster_context_tree(plain.view(), min_cluster_size=3, max_depth=3)
     rows = lambda g: sorted(tuple(r) for r in g.members.join(g.groups.select("id", "label", "level"), "id").select("label", "level", "line_id", "pos", "prototypicality", "own").collect())
     assert rows(g) == rows(again) and len(rows(g)) > 100
+
+
+def test_texts_of_lines_need_no_row_for_each_token(spark):
+    c = lines_of_words(spark)
+    plain = Concordance(c.metadata, c.tokens.select("*"), c.matches)
+    for args in ((-2, 2, True), (None, 1, False), (1, None, True), (-3, 3, True, "word", ["w1", "the"])):
+        texts = annotate.line_texts(c.view(), "word", *args)
+        plan = texts._jdf.queryExecution().withCachedData().toString().partition("InMemoryRelation")[0]
+        assert not [x for x in ("Aggregate", "Generate", "Join") if x in plan]
+        assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, annotate.line_texts(plain.view(), "word", *args).collect()))
+    weights = {(r["line_id"], r["term"]): r["w"] for r in annotate.tfidf_long(annotate.line_texts(c.view(), "word", -1, 1, True)).collect()}
+    assert abs(sum(w * w for (line, _), w in weights.items() if line == 0) - 1) < 1e-12 and weights[0, "w0"] > weights[0, "and"]
