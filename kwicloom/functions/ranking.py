@@ -4,6 +4,9 @@ Up to ``ONE_TASK`` rows, one ordered window does. Beyond, rows are cut into rang
 taken from a sample of it, ranked within their range in parallel, and shifted by the sizes of the ranges
 before; bounds are literals, ordered by Spark as the rows are (nulls and collations alike), and found by
 bisection. A repeated task gives the same ranks. Equal keys never straddle a bound.
+
+What is ranked is stored, as it is read for its size, a sample, the ranges' sizes and the ranks: ranks of ranks would
+else make it anew for each of these at every step.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ SAMPLED = 20_000
 def globally(df: DataFrame, keys: list[Column], name: str, rank: bool = True, one_task: int = ONE_TASK) -> DataFrame:
     """``df`` with column ``name``: the competition rank (1, 1, 3) by ``keys``, or the row number if not ``rank``."""
     fn = F.rank if rank else F.row_number
+    df = df.persist()
     ranged = in_ranges(df, keys, one_task)
     if ranged is None:
         return df.withColumn(name, fn().over(Window.orderBy(*keys)).cast("long"))
@@ -31,6 +35,7 @@ def globally(df: DataFrame, keys: list[Column], name: str, rank: bool = True, on
 
 def cumulated(df: DataFrame, keys: list[Column], sums: dict[str, str], one_task: int = ONE_TASK) -> DataFrame:
     """``df`` with further columns: for each name in ``sums``, the sum of a column of numbers over the rows before, by different ``keys``."""
+    df = df.persist()
     ranged = in_ranges(df, keys, one_task)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     summed = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0)).cast("long")

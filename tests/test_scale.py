@@ -96,3 +96,17 @@ def test_texts_of_lines_need_no_row_for_each_token(spark):
         assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, annotate.line_texts(plain.view(), "word", *args).collect()))
     weights = {(r["line_id"], r["term"]): r["w"] for r in annotate.tfidf_long(annotate.line_texts(c.view(), "word", -1, 1, True)).collect()}
     assert abs(sum(w * w for (line, _), w in weights.items() if line == 0) - 1) < 1e-12 and weights[0, "w0"] > weights[0, "and"]
+
+
+def test_what_is_ranked_is_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(20).mapInArrow(tell, "id long")
+    ranked = ranking.globally(ranking.globally(df, [F.col("id") % 3], "a"), [F.col("a"), F.col("id")], "b", rank=False)
+    assert [r["id"] for r in ranked.orderBy("b").collect()] == sorted(range(20), key=lambda x: (x % 3, x))
+    assert seen.value == 20
