@@ -24,6 +24,17 @@ def with_offsets(tokens: DataFrame, matches: DataFrame, slot: int = 0) -> DataFr
     return joined.withColumn("offset", offset.cast("int")).drop("_m")
 
 
+def within(start: int | None, end: int | None, node: bool = True) -> Callable[[Callable[[str], Column]], Column]:
+    """The condition of ``View.window``, for ``View.joined``."""
+
+    def keep(t: Callable[[str], Column]) -> Column:
+        cond = F.lit(True) if start is None else t("offset") >= start
+        cond = cond if end is None else cond & (t("offset") <= end)
+        return cond if node else cond & (t("offset") != 0)
+
+    return keep
+
+
 @dataclass
 class View:
     """What an algorithm works on: the frames restricted to the node's lines, offsets for its slot."""

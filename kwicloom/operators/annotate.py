@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..concordance import View
+from ..concordance import View, within
 from ..functions.stats import association
 from ..registry import algorithm, token_attributes
 from .rank import WINDOW
@@ -50,9 +50,7 @@ def scores_of(joined: DataFrame, attribute: str, n: float) -> DataFrame:
 
 def line_texts(view: View, attribute: str, start: int | None, end: int | None, node: bool, exclude_attribute: str | None = None, exclude: list | None = None) -> DataFrame:
     def keep(t: Callable[[str], Column]) -> Column:
-        cond = F.lit(True) if start is None else t("offset") >= start
-        cond = cond if end is None else cond & (t("offset") <= end)
-        cond = cond if node else cond & (t("offset") != 0)
+        cond = within(start, end, node)(t)
         return cond & ~F.coalesce(t(exclude_attribute).isin(list(exclude)), F.lit(False)) if exclude_attribute and exclude else cond
 
     return view.joined(keep, attribute, reads=(exclude_attribute,) if exclude_attribute and exclude else ())

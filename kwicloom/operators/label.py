@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..concordance import View
+from ..concordance import View, within
 from ..functions.stats import conservative_log_ratio
 from ..registry import algorithm, token_attributes
 from .grouping import Grouping
@@ -16,14 +18,19 @@ from .rank import WINDOW
 
 def keyword_counts(view: View, grouping: Grouping, tokens_attribute: str = "word", window_start: int = -5, window_end: int = 5, whitelist: dict | None = None, blacklist: dict | None = None) -> DataFrame:
     """``(id, word, f1, f2, n1, n2)``: a word's frequency in a group and in all its sister groups, and their sizes, in windows without nodes."""
-    tokens = view.window(window_start, window_end, node=False)
-    for attr, values in (whitelist or {}).items():
-        tokens = tokens.where(F.col(attr).isin(list(values)))
-    for attr, values in (blacklist or {}).items():
-        tokens = tokens.where(~F.coalesce(F.col(attr).isin(list(values)), F.lit(False)))
+    def keep(name: Callable[[str], Column]) -> Column:
+        cond = within(window_start, window_end, node=False)(name) & name(tokens_attribute).isNotNull()
+        for attr, values in (whitelist or {}).items():
+            cond = cond & name(attr).isin(list(values))
+        for attr, values in (blacklist or {}).items():
+            cond = cond & ~F.coalesce(name(attr).isin(list(values)), F.lit(False))
+        return cond
+
     sisters = grouping.groups.select("id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
-    words = tokens.select("line_id", F.lower(F.col(tokens_attribute).cast("string")).alias("word")).where("word is not null")
-    counted = words.join(grouping.members.select("id", "line_id"), "line_id").join(sisters, "id").groupBy("parent_id", "id", "word").agg(F.count("*").alias("f1"))
+    kept = F.transform(F.filter("toks", lambda t: keep(lambda name: t[name])), lambda t: F.lower(t[tokens_attribute].cast("string")))
+    lines = view.by_line(tokens_attribute, *(whitelist or {}), *(blacklist or {})).join(grouping.members.select("id", "line_id"), "line_id")
+    words = lines.select("id", F.explode(kept).alias("word")).groupBy("id", "word").agg(F.count("*").alias("f1"))
+    counted = words.join(sisters, "id").select("parent_id", "id", "word", "f1").persist()
     total = Window.partitionBy("parent_id", "word")
     sizes = counted.groupBy("parent_id", "id").agg(F.sum("f1").alias("n1"))
     every = sizes.groupBy("parent_id").agg(F.sum("n1").alias("all"))

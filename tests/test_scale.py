@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kwicloom.concordance import Concordance
 from kwicloom.functions import ranking
-from kwicloom.operators import annotate, cluster
+from kwicloom.operators import annotate, cluster, label, partition
 from kwicloom.plans import kwic
 from kwicloom.sources import text
 from kwicloom.sources.connectors import wmatrix_spans
@@ -110,3 +110,14 @@ def test_what_is_ranked_is_made_once(spark):
     ranked = ranking.globally(ranking.globally(df, [F.col("id") % 3], "a"), [F.col("a"), F.col("id")], "b", rank=False)
     assert [r["id"] for r in ranked.orderBy("b").collect()] == sorted(range(20), key=lambda x: (x % 3, x))
     assert seen.value == 20
+
+
+def test_keywords_are_counted_line_by_line(spark):
+    c = lines_of_words(spark)
+    plain = Concordance(c.metadata, c.tokens.select("*"), c.matches)
+    rows = lambda v, **k: sorted(map(tuple, label.keyword_counts(v, partition.partition_by_metadata_attribute(v, "doc_id"), **k).collect()))
+    for k in ({}, {"window_start": None, "window_end": 2}, {"whitelist": {"word": ["w1", "the"]}}, {"blacklist": {"word": ["of"]}}):
+        assert rows(c.view(), **k) == rows(plain.view(), **k) != []
+    counts = label.keyword_counts(c.view(), partition.partition_by_metadata_attribute(c.view(), "doc_id"))
+    plan = counts._jdf.queryExecution().withCachedData().toString()
+    assert "Generate" not in plan.partition("InMemoryRelation")[0]  # counts are stored, tokens not exploded for each use
