@@ -70,6 +70,11 @@ def conservative_log_ratio(f1: int, f2: int, n1: int, n2: int, alpha: float = 0.
     if f1 + f2 == 0:
         return 0.0
     level = alpha / (f1 + f2) / 2
+    if n1 > 0 and n2 > 0:
+        # the interval holds equal shares, as for most words, if neither tail beyond them is as small as the level
+        even, least = n1 / (n1 + n2), level * (1 + 1e-6) + 1e-13
+        if (not f1 or incomplete_beta(f1, f2 + 1, even) > least) and (not f2 or incomplete_beta(f2, f1 + 1, 1 - even) > least):
+            return 0.0
     low = beta_quantile(level, f1, f2 + 1) if f1 else 0.0
     high = beta_quantile(1 - level, f1 + 1, f2) if f2 else 1.0
 

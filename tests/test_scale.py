@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kwicloom.concordance import Concordance
-from kwicloom.functions import ranking
+from kwicloom.functions import ranking, stats
 from kwicloom.operators import annotate, cluster, label, partition
 from kwicloom.plans import kwic
 from kwicloom.sources import text
@@ -112,6 +112,22 @@ def test_what_is_ranked_is_made_once(spark):
     assert seen.value == 20
 
 
+def test_bounds_are_sought_for_words_apart_only(monkeypatch):
+    cases = [(f1, f2, n1, n2) for f1 in (0, 1, 5, 40, 300) for f2 in (0, 1, 7, 60) for n1, n2 in ((100, 100), (1000, 90), (400, 9000), (5, 0))]
+    plain = {}
+    for f1, f2, n1, n2 in cases:
+        if f1 + f2:
+            level = 0.05 / (f1 + f2) / 2
+            low = stats.beta_quantile(level, f1, f2 + 1) if f1 else 0.0
+            plain[f1, f2, n1, n2] = low, stats.beta_quantile(1 - level, f1 + 1, f2) if f2 else 1.0
+    for (f1, f2, n1, n2), (low, high) in plain.items():
+        if n2:
+            got, even = stats.conservative_log_ratio(f1, f2, n1, n2), n1 / (n1 + n2)
+            assert (got > 0) == (low > even) and (got < 0) == (high < even)
+    monkeypatch.setattr(stats, "beta_quantile", None)
+    assert stats.conservative_log_ratio(50, 50, 1000, 1000) == stats.conservative_log_ratio(1, 0, 10, 10) == 0
+
+
 def test_keywords_are_counted_line_by_line(spark):
     c = lines_of_words(spark)
     plain = Concordance(c.metadata, c.tokens.select("*"), c.matches)
